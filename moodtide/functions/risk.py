@@ -42,6 +42,15 @@ REASON_TEMPLATES = {
 }
 
 
+def settled(statistic: Column) -> Column:
+    """A mean or deviation as compared with thresholds.
+
+    The last bits of a distributed sum depend on the order rows arrive in. Twelve places are
+    far above that noise, so a mean of exactly 0.52 is 0.52 on every run.
+    """
+    return F.round(statistic, 12)
+
+
 def risk_level(
     avg_sentiment: Column,
     volatility: Column,
@@ -50,11 +59,12 @@ def risk_level(
     step_down_above: float = STEP_DOWN_ABOVE,
 ) -> Column:
     """Level by mean score; one level lower when the scores vary strongly."""
-    jumpy = volatility > step_down_above
+    mean = settled(avg_sentiment)
+    jumpy = settled(volatility) > step_down_above
     return (
-        F.when((avg_sentiment >= high_from) & ~jumpy, F.lit(LEVEL_HIGH))
-        .when(avg_sentiment >= high_from, F.lit(LEVEL_MID))
-        .when((avg_sentiment >= mid_from) & ~jumpy, F.lit(LEVEL_MID))
+        F.when((mean >= high_from) & ~jumpy, F.lit(LEVEL_HIGH))
+        .when(mean >= high_from, F.lit(LEVEL_MID))
+        .when((mean >= mid_from) & ~jumpy, F.lit(LEVEL_MID))
         .otherwise(F.lit(LEVEL_LOW))
     )
 
@@ -73,9 +83,9 @@ def reason_code(
     avg_sentiment: Column, volatility: Column, annual_yield: Column
 ) -> Column:
     return (
-        F.when(volatility >= REASON_VOLATILITY_FROM, F.lit(REASON_STEADY))
+        F.when(settled(volatility) >= REASON_VOLATILITY_FROM, F.lit(REASON_STEADY))
         .when(
-            (avg_sentiment >= REASON_SENTIMENT_FROM)
+            (settled(avg_sentiment) >= REASON_SENTIMENT_FROM)
             & (annual_yield >= REASON_YIELD_FROM),
             F.lit(REASON_CALM_GROWTH),
         )
@@ -102,16 +112,16 @@ def reason_text(
 
 def market_band(global_avg: Column) -> Column:
     return (
-        F.when(global_avg >= 0.6, F.lit("positive"))
-        .when(global_avg >= 0.4, F.lit("neutral_to_bearish"))
+        F.when(settled(global_avg) >= 0.6, F.lit("positive"))
+        .when(settled(global_avg) >= 0.4, F.lit("neutral_to_bearish"))
         .otherwise(F.lit("bearish"))
     )
 
 
 def score_band(score: Column) -> Column:
     return (
-        F.when(score >= 9, F.lit("high"))
-        .when(score >= 7.5, F.lit("mid"))
+        F.when(settled(score) >= 9, F.lit("high"))
+        .when(settled(score) >= 7.5, F.lit("mid"))
         .otherwise(F.lit("low"))
     )
 
@@ -126,15 +136,15 @@ def drawdown_band(drawdown: Column) -> Column:
 
 def sentiment_band(avg_sentiment: Column) -> Column:
     return (
-        F.when(avg_sentiment >= 0.6, F.lit("high"))
-        .when(avg_sentiment >= 0.4, F.lit("mid"))
+        F.when(settled(avg_sentiment) >= 0.6, F.lit("high"))
+        .when(settled(avg_sentiment) >= 0.4, F.lit("mid"))
         .otherwise(F.lit("low"))
     )
 
 
 def volatility_band(volatility: Column) -> Column:
     return (
-        F.when(volatility > 0.15, F.lit("high"))
-        .when(volatility >= 0.1, F.lit("mid"))
+        F.when(settled(volatility) > 0.15, F.lit("high"))
+        .when(settled(volatility) >= 0.1, F.lit("mid"))
         .otherwise(F.lit("low"))
     )

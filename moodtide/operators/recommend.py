@@ -39,6 +39,7 @@ MAX_BUCKETS = 1 << 20
 PER_BUCKET = 64
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
+BAR_GROUPS = 16
 ROUNDING = 1e-9
 
 
@@ -68,13 +69,14 @@ def _refine(candidates: DataFrame, buckets: int, split: int, k: int) -> DataFram
     ranged = parts.withColumn("_low", F.least(left, right) - slack).withColumn(
         "_high", F.greatest(left, right) + slack
     )
-    best_first = W.partitionBy("risk_rating", "bucket").orderBy(F.col("_low").desc())
-    # at most one row per level and bucket: bounded whatever the catalogue holds
+    # The k-th best of the bests of some groups of products: k products reach it, and it
+    # takes hash aggregation only. One row per level and bucket, whatever the catalogue holds.
+    group = F.pmod(F.xxhash64("product_id"), F.lit(BAR_GROUPS))
     bars = (
-        ranged.select("risk_rating", "bucket", "_low")
-        .withColumn("_n", F.row_number().over(best_first))
-        .where(F.col("_n") == k)
-        .select("risk_rating", "bucket", F.col("_low").alias("_bar"))
+        ranged.groupBy("risk_rating", "bucket", group.alias("_group"))
+        .agg(F.max("_low").alias("_best"))
+        .groupBy("risk_rating", "bucket")
+        .agg(F.get(F.sort_array(F.collect_list("_best"), asc=False), F.lit(k - 1)).alias("_bar"))
     )
     if buckets * split * len(RISK_LEVELS) <= 10_000:
         bars = F.broadcast(bars)
@@ -173,7 +175,7 @@ def best_products(
     ranked = users.join(packed, keys).select(
         *profiles.columns,
         F.posexplode(
-            F.slice(F.array_sort(F.transform("_options", scored)), 1, k)
+            F.slice(F.sort_array(F.transform("_options", scored)), 1, k)
         ).alias("_pos", "_best"),
     )
     return ranked.select(

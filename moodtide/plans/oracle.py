@@ -17,6 +17,7 @@ def cleaned(text: str) -> str:
 
 
 def level(avg: str, sd: str) -> str:
+    avg, sd = f"round({avg}, 12)", f"round({sd}, 12)"
     return (
         f"CASE WHEN {avg} >= 0.52 THEN CASE WHEN {sd} > 0.25 THEN '稳健型' ELSE '激进型' END "
         f"WHEN {avg} >= 0.45 THEN CASE WHEN {sd} > 0.25 THEN '保守型' ELSE '稳健型' END "
@@ -94,7 +95,7 @@ BEST = f"""WITH {POST}, {PROFILE}, {CATALOG}, scored AS (
     ), best AS (SELECT *, CAST(rn AS INTEGER) AS rank FROM ranked WHERE rn <= 3)"""
 
 REASON = (
-    "CASE WHEN volatility >= 0.20 THEN 'steady' WHEN avg_sentiment >= 0.60 AND annual_yield >= 12 "
+    "CASE WHEN round(volatility, 12) >= 0.20 THEN 'steady' WHEN round(avg_sentiment, 12) >= 0.60 AND annual_yield >= 12 "
     "THEN 'growth' ELSE 'balanced' END"
 )
 
@@ -244,7 +245,7 @@ PAGE_POSTS = f"""{EV}, ids AS (
       SELECT page_id, source_post_id,
         CASE WHEN k % 10 = 0 AND variant IN (1, 2) THEN 'unknown'
              ELSE concat('u', CAST(user_id AS VARCHAR)) END AS user_id,
-        concat('post', event_type, '&', CAST(event_id AS VARCHAR)) AS content,
+        concat('post', event_type, '& ', CAST(event_id AS VARCHAR)) AS content,
         CASE variant WHEN 0 THEN date_trunc('second', ts)
           WHEN 4 THEN {AS_OF} ELSE date_trunc('minute', ts) END AS post_time,
         CASE variant WHEN 0 THEN 'script_json' WHEN 1 THEN 'dom_time_tag' WHEN 2 THEN 'dom_time_tag'
@@ -350,7 +351,7 @@ def build() -> dict[str, str]:
     sql["global_sentiment"] = f"""WITH {POST}, {PROFILE}, t AS (
       SELECT coalesce(avg(avg_sentiment), 0.0) AS a, count(*) AS n FROM profile)
       SELECT round(a, 9) AS global_avg_sentiment, n AS total_users,
-        CASE WHEN a >= 0.6 THEN 'positive' WHEN a >= 0.4 THEN 'neutral_to_bearish' ELSE 'bearish' END
+        CASE WHEN round(a, 12) >= 0.6 THEN 'positive' WHEN round(a, 12) >= 0.4 THEN 'neutral_to_bearish' ELSE 'bearish' END
           AS market_band FROM t"""
 
     sql["global_post_score"] = f"""WITH {POST} SELECT
@@ -382,12 +383,12 @@ def build() -> dict[str, str]:
         f"{BEST} SELECT user_id, rank, product_id, {REASON} AS reason_code FROM best"
     )
     sql["recommend_bands"] = f"""{BEST} SELECT user_id, rank, product_id,
-      CASE WHEN score >= 9 THEN 'high' WHEN score >= 7.5 THEN 'mid' ELSE 'low' END AS score_band,
+      CASE WHEN round(score, 12) >= 9 THEN 'high' WHEN round(score, 12) >= 7.5 THEN 'mid' ELSE 'low' END AS score_band,
       CASE WHEN max_drawdown <= 1 THEN 'low' WHEN max_drawdown <= 10 THEN 'mid' ELSE 'high' END
         AS drawdown_band,
-      CASE WHEN avg_sentiment >= 0.6 THEN 'high' WHEN avg_sentiment >= 0.4 THEN 'mid' ELSE 'low' END
+      CASE WHEN round(avg_sentiment, 12) >= 0.6 THEN 'high' WHEN round(avg_sentiment, 12) >= 0.4 THEN 'mid' ELSE 'low' END
         AS sentiment_band,
-      CASE WHEN volatility > 0.15 THEN 'high' WHEN volatility >= 0.1 THEN 'mid' ELSE 'low' END
+      CASE WHEN round(volatility, 12) > 0.15 THEN 'high' WHEN round(volatility, 12) >= 0.1 THEN 'mid' ELSE 'low' END
         AS volatility_band FROM best"""
     tags = "CASE product_id % 3 WHEN 2 THEN {plain} ELSE 'a|b' END"
     sql["recommend_answer"] = f"""{BEST} SELECT user_id, rank, product_id, product_name, risk_rating,
