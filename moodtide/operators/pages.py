@@ -23,6 +23,7 @@ from moodtide.fixed_values import (
 from moodtide.functions import page_outline
 from moodtide.functions.ids import is_valid_post_id, post_id_from_href
 from moodtide.functions.times import ntz, parse_post_time
+from moodtide.operators.spread import spread
 
 LINK_SCHEMA = "page_id long, pos int, href string, text string"
 POST_LINK_SCHEMA = (
@@ -58,10 +59,9 @@ def page_range(pages: DataFrame, first: int, last: int, column: str = "page_id")
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, text) of all hyperlinks, the first of each target per page."""
-    found = (
-        pages.where(F.col("html").isNotNull())
-        .select("page_id", "html")
-        .mapInPandas(_per_page(page_outline.hyperlinks, _columns(LINK_SCHEMA)), LINK_SCHEMA)
+    html = spread(pages.where(F.col("html").isNotNull()).select("page_id", "html"))
+    found = html.mapInPandas(
+        _per_page(page_outline.hyperlinks, _columns(LINK_SCHEMA)), LINK_SCHEMA
     )
     seen = W.partitionBy("page_id", "href").orderBy("pos")
     return found.withColumn("_n", F.row_number().over(seen)).where(F.col("_n") == 1).drop("_n")
@@ -73,40 +73,48 @@ def page_posts(pages: DataFrame, as_of: dt.datetime) -> DataFrame:
     Pages that cannot hold a post link never reach Python. A link whose title is empty still
     hides later links of the same id on that page.
     """
-    found = (
-        pages.where(F.col("html").rlike("(?i)data-postid|articleh"))
-        .select("page_id", "html")
-        .mapInPandas(
-            _per_page(page_outline.post_links, _columns(POST_LINK_SCHEMA)), POST_LINK_SCHEMA
-        )
+    listing = pages.where(F.col("html").rlike("(?i)data-postid|articleh"))
+    found = spread(listing.select("page_id", "html")).mapInPandas(
+        _per_page(page_outline.post_links, _columns(POST_LINK_SCHEMA)), POST_LINK_SCHEMA
     )
     attr_id = F.regexp_replace("attr_id", "^\\s+|\\s+\\z", "")
     own_id = F.coalesce(F.nullif(attr_id, F.lit("")), post_id_from_href(F.col("href")))
-    same_post = W.partitionBy("page_id", "source_post_id")
-    first_seen = same_post.orderBy(F.col("pos").asc_nulls_last())
     script_time, tag_time, text_time = (
         F.nullif(F.col(c), F.lit("")) for c in ("script_time", "tag_time", "text_time")
     )
+    # Times are parsed where the page was read, before rows of one post meet.
+    read = found.select(
+        "page_id",
+        "pos",
+        F.coalesce("script_id", own_id).alias("source_post_id"),
+        F.coalesce(F.nullif("author", F.lit("")), F.lit(UNKNOWN_AUTHOR)).alias("user_id"),
+        F.col("title").alias("content"),
+        F.col("script_id").isNull().alias("_link"),
+        parse_post_time(
+            F.coalesce(script_time, tag_time, text_time, F.lit("")), ntz(as_of)
+        ).alias("_time"),
+        F.when(script_time.isNotNull(), TIME_FROM_SCRIPT)
+        .when(tag_time.isNotNull(), TIME_FROM_TAG)
+        .when(text_time.isNotNull(), TIME_FROM_TEXT)
+        .otherwise(TIME_NOT_FOUND)
+        .alias("_source"),
+    ).where(is_valid_post_id(F.col("source_post_id")))
+    first_seen = W.partitionBy("page_id", "source_post_id").orderBy(F.col("pos").asc_nulls_last())
+    all_of_post = first_seen.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    by_script = F.when(F.col("_source") == TIME_FROM_SCRIPT, F.col("_time"))
     return (
-        found.withColumn("source_post_id", F.coalesce("script_id", own_id))
-        .where(F.col("source_post_id").isNotNull())
-        .withColumn("script_time", F.max("script_time").over(same_post))
-        .withColumn("_n", F.row_number().over(first_seen))
-        .where(F.col("script_id").isNull() & (F.col("_n") == 1) & (F.col("title") != ""))
-        .where(is_valid_post_id(F.col("source_post_id")))
+        read.withColumn("_n", F.row_number().over(first_seen))
+        .withColumn("_script", F.max(by_script).over(all_of_post))
+        .where(F.col("_link") & (F.col("_n") == 1) & (F.col("content") != ""))
         .select(
             "page_id",
             "pos",
             "source_post_id",
-            F.coalesce(F.nullif("author", F.lit("")), F.lit(UNKNOWN_AUTHOR)).alias("user_id"),
-            F.col("title").alias("content"),
-            parse_post_time(
-                F.coalesce(script_time, tag_time, text_time, F.lit("")), ntz(as_of)
-            ).alias("post_time"),
-            F.when(script_time.isNotNull(), TIME_FROM_SCRIPT)
-            .when(tag_time.isNotNull(), TIME_FROM_TAG)
-            .when(text_time.isNotNull(), TIME_FROM_TEXT)
-            .otherwise(TIME_NOT_FOUND)
+            "user_id",
+            "content",
+            F.coalesce("_script", "_time").alias("post_time"),
+            F.when(F.col("_script").isNotNull(), TIME_FROM_SCRIPT)
+            .otherwise(F.col("_source"))
             .alias("time_source"),
         )
     )

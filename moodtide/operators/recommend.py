@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,10 +33,10 @@ from moodtide.session import fresh_dir
 NUMBERS = ["annual_yield", "sharpe_ratio", "max_drawdown"]
 SHOWN = ["product_name", "product_type", "tags", "purchase_url"]
 
-FIRST_BUCKETS = 16
+FIRST_BUCKETS = 64
 SPLIT = 8
 MAX_BUCKETS = 1 << 20
-PER_BUCKET = 64
+PER_BUCKET = 128
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
 BAR_GROUPS = 16
@@ -95,38 +95,38 @@ def build_candidates(
 ) -> Candidates:
     """The candidate table of a catalogue, written to the shared folder.
 
-    Products alike in all three numbers tie for every user, so the ``k`` lowest ids of them
-    stand for all. Buckets are split further until none holds more than ``per_bucket``
+    The first cut needs no shuffle of the catalogue: the bars are a hash aggregate, and what
+    falls below them is dropped where it was read. Products alike in all three numbers tie
+    for every user, so the ``k`` lowest ids of them stand for all. Buckets are split further until none holds more than ``per_bucket``
     products. Where that cannot be reached the larger buckets stay whole: slower, still exact.
     """
     spark = products.sparkSession
-    alike = W.partitionBy("risk_rating", *NUMBERS).orderBy("product_id")
-    lines = (
+    alike = W.partitionBy("risk_rating", "bucket", *NUMBERS).orderBy("product_id")
+    table = (
         products.where(F.col("risk_rating").isin(*RISK_LEVELS))
         .select("risk_rating", "product_id", *NUMBERS)
-        .withColumn("_copy", F.row_number().over(alike))
-        .where(F.col("_copy") <= k)
-        .drop("_copy")
         .withColumn("bucket", F.lit(0))
     )
-    table, buckets, split = lines, 1, first_buckets
+    buckets, split = 1, first_buckets
     while True:
         path = fresh_dir(spark, "candidates")
-        _refine(table, buckets, split, k).write.parquet(path)
+        kept = _refine(table, buckets, split, k)
+        kept = kept.withColumn("_copy", F.row_number().over(alike)).where(F.col("_copy") <= k)
+        kept.drop("_copy").write.parquet(path)
         table, buckets, split = spark.read.parquet(path), buckets * split, SPLIT
         largest = (
             table.groupBy("risk_rating", "bucket").count().agg(F.max("count")).first()[0] or 0
         )
         if largest <= per_bucket or buckets * split > MAX_BUCKETS:
             break
-    shown = products.select("product_id", *SHOWN)
     path = fresh_dir(spark, "candidates")
-    table.join(shown, "product_id").write.parquet(path)
-    table = spark.read.parquet(path)
-    size = table.agg(
-        F.sum(F.octet_length(F.to_json(F.struct(*table.columns)))).alias("size")
-    ).first()[0]
-    return Candidates(table, buckets, size or 0, largest)
+    full = table.join(products.select("product_id", *SHOWN), "product_id")
+    size = Observation("candidates")
+    row_bytes = F.octet_length(F.to_json(F.struct(*full.columns)))
+    full.observe(size, F.sum(row_bytes).alias("bytes")).write.parquet(path)
+    return Candidates(
+        spark.read.parquet(path), buckets, size.get["bytes"] or 0, largest
+    )
 
 
 def volatility_bucket(volatility: Column, buckets: int) -> Column:

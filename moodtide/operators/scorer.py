@@ -16,6 +16,7 @@ from moodtide.functions.sentiment import (
     predicted_label,
     softmax,
 )
+from moodtide.operators.spread import spread
 
 # texts of one batch -> one list of logits per text
 Model = Callable[[list[str]], list[list[float]]]
@@ -80,7 +81,7 @@ def score_with_model(
             ]
             yield rows.join(pd.DataFrame(logits, columns=names, index=rows.index, dtype=float))
 
-    inferred = posts.mapInPandas(infer, schema)
+    inferred = spread(posts).mapInPandas(infer, schema)
     return with_sentiment(inferred, [F.col(n) for n in names], positive, negative, labels).drop(
         *names
     )

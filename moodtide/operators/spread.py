@@ -1,0 +1,29 @@
+"""Enough tasks for work in Python when the input is small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+TASK_BYTES = 64 << 10
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; runs nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the scan alone would leave most of them idle.
+
+    An input that fills the cluster with ordinary splits is left as it is: shuffling it would
+    cost more than it brings. So what moves is at most one split per core.
+    """
+    if df.isStreaming or not hasattr(df, "_jdf"):
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    size = estimated_bytes(df)
+    if size >= cores * split:
+        return df
+    return df.repartition(max(1, min(cores, size // TASK_BYTES + 1)))

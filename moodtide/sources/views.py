@@ -19,6 +19,7 @@ from moodtide.fixed_values import (
     LEVEL_LOW,
     LEVEL_MID,
 )
+from moodtide.operators.spread import spread
 
 AS_OF = dt.datetime(2024, 1, 30, 23, 0, 0)
 ID_FACTOR = 7919
@@ -48,7 +49,8 @@ def posts(spark: SparkSession, sf_dir: str, by_day: bool = True) -> DataFrame:
 
 
 def posts_from(events: DataFrame, by_day: bool = True) -> DataFrame:
-    k = number_k()
+    events = events.withColumn("k", number_k())
+    k = F.col("k")
     user = F.col("user_id").cast("string")
     if by_day:
         user = F.concat(user, F.lit("-"), F.date_format("ts", "MMdd"))
@@ -220,7 +222,7 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Three of four pages mark posts with an id attribute, the fourth has the older rows. Times
     come from the script block, a tag, the running text, or not at all.
     """
-    return list_pages_from(table(spark, sf_dir, "events"))
+    return list_pages_from(spread(table(spark, sf_dir, "events")))
 
 
 def list_pages_from(events: DataFrame) -> DataFrame:
