@@ -37,6 +37,7 @@ FIRST_BUCKETS = 64
 SPLIT = 8
 MAX_BUCKETS = 1 << 20
 PER_BUCKET = 128
+PACK_LIMIT = 1024
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
 BAR_GROUPS = 16
@@ -53,12 +54,14 @@ class Candidates:
     largest_bucket: int
 
 
+def _base(annual_yield: Column, sharpe: Column) -> Column:
+    """The part of a score that does not depend on the user."""
+    return annual_yield * YIELD_WEIGHT + sharpe * SHARPE_SCALE * SHARPE_WEIGHT
+
+
 def _refine(candidates: DataFrame, buckets: int, split: int, k: int) -> DataFrame:
     """Split each bucket and drop, per part, what ``k`` others beat at both of its ends."""
-    a = (
-        F.col("annual_yield") * YIELD_WEIGHT
-        + F.col("sharpe_ratio") * SHARPE_SCALE * SHARPE_WEIGHT
-    )
+    a = _base(F.col("annual_yield"), F.col("sharpe_ratio"))
     b = F.col("max_drawdown") * DRAWDOWN_WEIGHT
     parts = candidates.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
     parts = parts.withColumn("bucket", F.col("bucket") * split + F.col("_part")).drop("_part")
@@ -96,18 +99,20 @@ def build_candidates(
     """The candidate table of a catalogue, written to the shared folder.
 
     The first cut needs no shuffle of the catalogue: the bars are a hash aggregate, and what
-    falls below them is dropped where it was read. Products alike in all three numbers tie
-    for every user, so the ``k`` lowest ids of them stand for all. Buckets are split further until none holds more than ``per_bucket``
-    products. Where that cannot be reached the larger buckets stay whole: slower, still exact.
+    falls below them is dropped where it was read. Products on the very same line tie for
+    every user, so the ``k`` lowest ids of them stand for all. Buckets are split further until
+    none holds more than ``per_bucket`` products, or splitting no longer helps. Larger buckets
+    then stay whole: slower, still exact.
     """
     spark = products.sparkSession
-    alike = W.partitionBy("risk_rating", "bucket", *NUMBERS).orderBy("product_id")
+    line = (_base(F.col("annual_yield"), F.col("sharpe_ratio")), "max_drawdown")
+    alike = W.partitionBy("risk_rating", "bucket", *line).orderBy("product_id")
     table = (
         products.where(F.col("risk_rating").isin(*RISK_LEVELS))
         .select("risk_rating", "product_id", *NUMBERS)
         .withColumn("bucket", F.lit(0))
     )
-    buckets, split = 1, first_buckets
+    buckets, split, before = 1, first_buckets, None
     while True:
         path = fresh_dir(spark, "candidates")
         kept = _refine(table, buckets, split, k)
@@ -119,6 +124,9 @@ def build_candidates(
         )
         if largest <= per_bucket or buckets * split > MAX_BUCKETS:
             break
+        if before is not None and largest > 0.75 * before:
+            break
+        before = largest
     path = fresh_dir(spark, "candidates")
     full = table.join(products.select("product_id", *SHOWN), "product_id")
     size = Observation("candidates")
@@ -139,25 +147,31 @@ def best_products(
     candidates: Candidates,
     k: int = TOP_PRODUCTS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    pack_limit: int = PACK_LIMIT,
 ) -> DataFrame:
     """(user, rank) rows with the raw score; ties go to the lower product id.
 
-    A measured candidate table of up to ``broadcast_bytes`` is broadcast. Beyond that both
-    sides are shuffled by level and bucket, with salt against hot buckets.
+    A candidate table measured at up to ``broadcast_bytes`` is broadcast, a row per bucket.
+    Beyond that both sides are shuffled by level and bucket, with salt against hot buckets,
+    and beyond ``pack_limit`` products in a bucket the products stay rows of their own.
     """
     keys = ["risk_level", "_bucket"]
-    packed = candidates.table.groupBy(
-        F.col("risk_rating").alias("risk_level"), F.col("bucket").alias("_bucket")
-    ).agg(F.collect_list(F.struct("product_id", *NUMBERS, *SHOWN)).alias("_options"))
+    table = candidates.table.withColumnsRenamed({"risk_rating": "risk_level", "bucket": "_bucket"})
     users = profiles.withColumn(
         "_bucket", volatility_bucket(F.col("volatility"), candidates.buckets)
     )
-    if candidates.size_bytes <= broadcast_bytes:
-        packed = F.broadcast(packed)
-    else:
+    small = candidates.size_bytes <= broadcast_bytes
+    if not small:
         users = users.withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(SALTS)).cast("int"))
-        packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keys = [*keys, "_salt"]
+        keys.append("_salt")
+    if not small and candidates.largest_bucket > pack_limit:
+        pairs = users.join(_salted(table).hint("merge"), keys)
+        return _rank_rows(pairs, profiles.columns, k)
+    packed = table.groupBy("risk_level", "_bucket").agg(
+        F.collect_list(F.struct("product_id", *NUMBERS, *SHOWN)).alias("_options")
+    )
+    # a compressed table looks smaller than it is, so the join is not left to its file size
+    packed = F.broadcast(packed) if small else _salted(packed).hint("merge")
 
     def scored(option: Column) -> Column:
         score = risk.product_score(
@@ -172,11 +186,9 @@ def best_products(
             *[option[c].alias(c) for c in [*NUMBERS, *SHOWN]],
         )
 
+    best = F.slice(F.sort_array(F.transform("_options", scored)), 1, k)
     ranked = users.join(packed, keys).select(
-        *profiles.columns,
-        F.posexplode(
-            F.slice(F.sort_array(F.transform("_options", scored)), 1, k)
-        ).alias("_pos", "_best"),
+        *profiles.columns, F.posexplode(best).alias("_pos", "_best")
     )
     return ranked.select(
         *profiles.columns,
@@ -186,28 +198,34 @@ def best_products(
     )
 
 
-def best_products_by_join(
-    profiles: DataFrame, products: DataFrame, k: int = TOP_PRODUCTS
-) -> DataFrame:
-    """The same answer from the plain join of users with all products of their level.
+def _salted(side: DataFrame) -> DataFrame:
+    return side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
-    Kept as the measure for tests and the bench; its work is users times products.
-    """
+
+def _rank_rows(pairs: DataFrame, user_columns: list[str], k: int) -> DataFrame:
     score = risk.product_score(
         F.col("annual_yield"), F.col("sharpe_ratio"), F.col("max_drawdown"), F.col("volatility")
     )
     best_first = W.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("product_id"))
     return (
-        profiles.join(
-            products.withColumnRenamed("risk_rating", "risk_level"), "risk_level"
-        )
-        .withColumn("score", score)
+        pairs.withColumn("score", score)
         .withColumn("rank", F.row_number().over(best_first))
         .where(F.col("rank") <= k)
-        .select(*profiles.columns, "rank", "product_id", *NUMBERS, *SHOWN, "score")
+        .select(*user_columns, "rank", "product_id", *NUMBERS, *SHOWN, "score")
     )
 
 
+def best_products_by_join(
+    profiles: DataFrame, products: DataFrame, k: int = TOP_PRODUCTS
+) -> DataFrame:
+    """The same answer from the plain join of users with all products of their level.
+
+    Kept as the measure for tests and the bench; its work is users times products.
+    """
+    pairs = profiles.join(products.withColumnRenamed("risk_rating", "risk_level"), "risk_level")
+    return _rank_rows(pairs, profiles.columns, k)
+
+
 def recommendations(best: DataFrame) -> DataFrame:
     """The answer as shown: rounded score, reason, tags."""
     code = risk.reason_code(F.col("avg_sentiment"), F.col("volatility"), F.col("annual_yield"))
