@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moodtide.fixed_values import (
     SOURCE_PLATFORM,
@@ -25,31 +26,46 @@ from moodtide.functions.ids import is_valid_post_id, post_id_from_href
 from moodtide.functions.times import ntz, parse_post_time
 from moodtide.operators.spread import spread
 
-LINK_SCHEMA = "page_id long, pos int, href string, text string"
-POST_LINK_SCHEMA = (
-    "page_id long, pos int, attr_id string, href string, title string, author string, "
-    "tag_time string, text_time string, script_id string, script_time string"
+LINK_SCHEMA = T.StructType(
+    [
+        T.StructField("page_id", T.LongType()),
+        T.StructField("pos", T.IntegerType()),
+        T.StructField("href", T.StringType()),
+        T.StructField("text", T.StringType()),
+    ]
+)
+POST_LINK_SCHEMA = T.StructType(
+    [
+        T.StructField("page_id", T.LongType()),
+        T.StructField("pos", T.IntegerType()),
+        *[
+            T.StructField(name, T.StringType())
+            for name in (
+                "attr_id href title author tag_time text_time script_id script_time".split()
+            )
+        ],
+    ]
 )
 
 
-def _per_page(read: Callable[[str], list[dict]], columns: list[str]):
-    """Arrow batches of pages in, one batch of findings out per batch."""
+def _per_page(pages: DataFrame, read: Callable[[str], list[dict]], schema: T.StructType) -> DataFrame:
+    """Apply ``read`` to every page; Arrow batches in, Arrow batches out."""
+    arrow_types = {
+        T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()
+    }
+    arrow_schema = pa.schema([(f.name, arrow_types[f.dataType]) for f in schema.fields])
 
-    def read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, htmls = (batch.column(c).to_pylist() for c in ("page_id", "html"))
             rows = [
                 {"page_id": page_id, **found}
-                for page_id, html in zip(batch["page_id"], batch["html"])
+                for page_id, html in zip(ids, htmls)
                 for found in read(html)
             ]
-            findings = pd.DataFrame(rows, columns=columns)
-            yield findings.astype({"pos": "Int32"})
-
-    return read_batches
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
-
-def _columns(schema: str) -> list[str]:
-    return [field.split()[0] for field in schema.split(", ")]
+    return spread(pages.select("page_id", "html")).mapInArrow(read_batches, schema)
 
 
 def page_range(pages: DataFrame, first: int, last: int, column: str = "page_id") -> DataFrame:
@@ -59,9 +75,8 @@ def page_range(pages: DataFrame, first: int, last: int, column: str = "page_id")
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, text) of all hyperlinks, the first of each target per page."""
-    html = spread(pages.where(F.col("html").isNotNull()).select("page_id", "html"))
-    found = html.mapInPandas(
-        _per_page(page_outline.hyperlinks, _columns(LINK_SCHEMA)), LINK_SCHEMA
+    found = _per_page(
+        pages.where(F.col("html").isNotNull()), page_outline.hyperlinks, LINK_SCHEMA
     )
     seen = W.partitionBy("page_id", "href").orderBy("pos")
     return found.withColumn("_n", F.row_number().over(seen)).where(F.col("_n") == 1).drop("_n")
@@ -74,9 +89,7 @@ def page_posts(pages: DataFrame, as_of: dt.datetime) -> DataFrame:
     hides later links of the same id on that page.
     """
     listing = pages.where(F.col("html").rlike("(?i)data-postid|articleh"))
-    found = spread(listing.select("page_id", "html")).mapInPandas(
-        _per_page(page_outline.post_links, _columns(POST_LINK_SCHEMA)), POST_LINK_SCHEMA
-    )
+    found = _per_page(listing, page_outline.post_links, POST_LINK_SCHEMA)
     attr_id = F.regexp_replace("attr_id", "^\\s+|\\s+\\z", "")
     own_id = F.coalesce(F.nullif(attr_id, F.lit("")), post_id_from_href(F.col("href")))
     script_time, tag_time, text_time = (
