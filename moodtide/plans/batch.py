@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from moodtide.functions.times import ntz
 from moodtide.operators import pages as page_ops
 from moodtide.operators import profile, status
-from moodtide.operators.upsert import upsert_profiles, upsert_sentiment
+from moodtide.operators.retention import cutoff
+from moodtide.operators.upsert import upsert_profiles
 from moodtide.sources.tables import Tables
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -28,7 +29,7 @@ def ingest(tables: Tables, pages: DataFrame, as_of: dt.datetime, batch: int) ->
     posts = page_ops.page_posts(pages, as_of).observe(
         counters, F.count(F.lit(1)).alias("upsert_rows")
     )
-    tables.merge_partitions(
+    tables.merge(
         "raw_data",
         page_ops.landed_rows(posts, as_of),
         "source_post_id",
@@ -40,37 +41,44 @@ def ingest(tables: Tables, pages: DataFrame, as_of: dt.datetime, batch: int) ->
 
 
 def clean(tables: Tables, as_of: dt.datetime, batch: int) -> None:
-    pending = status.pending_posts(tables.posts(), tables.appended("posts_clean"))
+    pending = status.pending_posts(tables.posts(), tables.appended("posts_clean", batch))
     tables.append("posts_clean", status.clean_batch(pending, as_of), batch)
 
 
 def score(tables: Tables, scorer: Scorer, as_of: dt.datetime, batch: int) -> None:
-    """Score what is cleaned, then carry the same rows over into ``user_sentiment``.
+    """Score what is cleaned, then carry it over into ``user_sentiment``.
 
-    The scored batch is read back, so the model runs once per post.
+    The scored rows are read back, so the model runs once per post. What is carried over is
+    whatever ``user_sentiment`` lacks, so a round cut short between the two is made good.
     """
     ready = status.scorable_posts(
-        tables.posts(), tables.appended("posts_clean"), tables.appended("posts_scored")
+        tables.posts(), tables.appended("posts_clean"), tables.appended("posts_scored", batch)
     )
     tables.append("posts_scored", status.scored_batch(scorer(ready), as_of), batch)
-    done = tables.appended("posts_scored").where(F.col("update_time") == ntz(as_of))
+    known = tables.stored("user_sentiment").select(F.col("raw_data_id").alias("id"))
     rows = (
-        tables.appended("posts_clean")
-        .select("id", "clean_content")
-        .join(done, "id")
+        tables.appended("posts_scored")
+        .join(known, "id", "left_anti")
+        .join(tables.appended("posts_clean").select("id", "clean_content"), "id")
         .join(tables.posts().select("id", "user_id"), "id")
     )
     new = status.sentiment_rows(rows, as_of).withColumn("seq", F.lit(0))
-    tables.replace("user_sentiment", upsert_sentiment(tables.read("user_sentiment"), new))
+    refresh = [c for c in new.columns if c not in ("id", "raw_data_id", "seq")]
+    tables.merge("user_sentiment", new, "raw_data_id", refresh, "seq", batch)
 
 
 def profiles(tables: Tables, as_of: dt.datetime) -> None:
-    fresh = profile.risk_profiles(tables.read("user_sentiment")).withColumn(
+    fresh = profile.risk_profiles(tables.stored("user_sentiment")).withColumn(
         "update_time", ntz(as_of)
     )
     tables.replace("risk_profile", upsert_profiles(tables.read("risk_profile"), fresh))
 
 
+def prune(tables: Tables, as_of: dt.datetime) -> list[str]:
+    """Drop the days past retention; readers filter the day the cutoff falls on."""
+    return tables.drop_days(cutoff(as_of).date())
+
+
 def reload_catalog(tables: Tables, products: DataFrame) -> int:
     """Replace the catalogue and report its size."""
     tables.replace("products", products)

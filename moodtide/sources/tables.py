@@ -4,14 +4,17 @@ Three ways to write, by how much of a table a batch touches:
 
 * ``append`` for the stage tables (cleaned, scored): the batch alone is written, below its own
   batch directory, so replaying a batch replaces it instead of adding it twice.
-* ``merge_partitions`` for posts: only the create-date partitions that hold a matching key or
-  receive a new row are rewritten.
+* ``merge`` for posts and their sentiment: only the partitions that hold a matching key or
+  receive a new row are rewritten. Posts lie by the day they landed, sentiment by id range,
+  both of which a row never leaves and new rows share.
 * ``replace`` for tables rebuilt as a whole (profiles, catalogue): a new snapshot directory;
   readers take the newest finished one.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +22,14 @@ from pyspark.sql import types as T
 from moodtide.operators.upsert import one_per_key, upsert
 from moodtide.schemas import TABLES
 
-DAY = "create_date"
+IDS_PER_RANGE = 10_000_000
+BROADCAST_KEYS = 1_000_000
+
+# table -> partition column, its type, how a row gets it
+LAYOUT = {
+    "raw_data": ("create_date", T.DateType(), "to_date(create_time)"),
+    "user_sentiment": ("id_range", T.LongType(), f"raw_data_id div {IDS_PER_RANGE}"),
+}
 
 
 class Tables:
@@ -42,28 +52,39 @@ class Tables:
     def _empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], TABLES[name])
 
+    def _children(self, path: str, prefix: str) -> list[str]:
+        fs, where = self._fs(path)
+        if not fs.exists(where):
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(where)]
+        return sorted(name for name in names if name.startswith(prefix))
+
+    def _delete(self, path: str) -> None:
+        fs, where = self._fs(path)
+        fs.delete(where, True)
+
     # --- stage tables ----------------------------------------------------------------
 
     def append(self, name: str, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path(name)}/batch={batch}")
 
-    def appended(self, name: str) -> DataFrame:
-        if not self._exists(self.path(name)):
+    def appended(self, name: str, without: int | None = None) -> DataFrame:
+        """All batches, or all but the one that is about to be written (again)."""
+        batches = [
+            f"{self.path(name)}/{child}"
+            for child in self._children(self.path(name), "batch=")
+            if child != f"batch={without}"
+        ]
+        if not batches:
             return self._empty(name)
-        return self.spark.read.schema(TABLES[name]).parquet(self.path(name) + "/batch=*")
+        return self.spark.read.schema(TABLES[name]).parquet(*batches)
 
     # --- snapshots -------------------------------------------------------------------
 
     def versions(self, name: str) -> list[int]:
-        fs, where = self._fs(self.path(name))
-        if not fs.exists(where):
-            return []
-        found = []
-        for status in fs.listStatus(where):
-            child = status.getPath()
-            if child.getName().startswith("v=") and self._exists(f"{child}/_SUCCESS"):
-                found.append(int(child.getName()[2:]))
-        return sorted(found)
+        found = self._children(self.path(name), "v=")
+        done = [v for v in found if self._exists(f"{self.path(name)}/{v}/_SUCCESS")]
+        return sorted(int(v[2:]) for v in done)
 
     def read(self, name: str, before: int | None = None, schema=None) -> DataFrame:
         """The newest snapshot, or the newest one older than ``before``."""
@@ -85,56 +106,75 @@ class Tables:
         """Delete all but the newest ``keep`` snapshots."""
         old = self.versions(name)[:-keep]
         for version in old:
-            fs, where = self._fs(f"{self.path(name)}/v={version}")
-            fs.delete(where, True)
+            self._delete(f"{self.path(name)}/v={version}")
         return old
 
-    # --- posts, partitioned by the day they landed --------------------------------------
+    # --- partitioned tables --------------------------------------------------------------
 
-    def posts(self, name: str = "raw_data") -> DataFrame:
+    def stored(self, name: str) -> DataFrame:
         if not self._exists(self.path(name)):
             return self._empty(name)
-        return self._by_day(name).drop(DAY)
+        return self._partitioned(name).drop(LAYOUT[name][0])
+
+    def posts(self) -> DataFrame:
+        return self.stored("raw_data")
 
-    def _by_day(self, name: str) -> DataFrame:
-        schema = T.StructType([*TABLES[name].fields, T.StructField(DAY, T.DateType())])
+    def _partitioned(self, name: str) -> DataFrame:
+        column, kind, _ = LAYOUT[name]
+        schema = T.StructType([*TABLES[name].fields, T.StructField(column, kind)])
         return self.spark.read.schema(schema).parquet(self.path(name))
 
-    def merge_partitions(
-        self,
-        name: str,
-        incoming: DataFrame,
-        key: str,
-        refresh: list[str],
-        seq: str,
-        batch: int,
+    def merge(
+        self, name: str, incoming: DataFrame, key: str, refresh: list[str], seq: str, batch: int
     ) -> None:
-        """Upsert that rewrites only the days it touches.
+        """Upsert that rewrites only the partitions it touches.
 
-        The merged days are first written aside. Overwriting the table then only copies
-        finished files, and can be repeated from there should it be cut short.
+        The incoming rows are written down first, one per key: what they come from (pages,
+        a model) is computed once. Then the merged partitions are written aside. Overwriting
+        the table from there only copies finished files, and can be repeated should it be cut
+        short. A finished batch number is not merged again.
         """
-        staged = f"{self.path(name)}-staged/batch={batch}"
-        if not self._exists(f"{staged}/_SUCCESS"):
-            new = one_per_key(incoming, key, seq, refresh)
-            day = F.to_date("create_time").alias(DAY)
+        aside = f"{self.path(name)}-staged/batch={batch}"
+        if self._exists(f"{aside}/done"):
+            return
+        column, _, rule = LAYOUT[name]
+        part = F.expr(rule).alias(column)
+        if not self._exists(f"{aside}/merged/_SUCCESS"):
+            one_per_key(incoming, key, seq, refresh).write.mode("overwrite").parquet(f"{aside}/new")
+            new = self.spark.read.schema(TABLES[name]).parquet(f"{aside}/new")
             if self._exists(self.path(name)):
-                stored = self._by_day(name)
-                hit = stored.select(key, DAY).join(new.select(key), key, "left_semi").select(DAY)
-                days = hit.unionByName(new.select(day)).distinct()
-                # one row per day of retention; the scan is pruned to them at run time
-                touched = stored.join(F.broadcast(days), DAY, "left_semi").drop(DAY)
+                keys = new.select(key)
+                if keys.count() <= BROADCAST_KEYS:
+                    keys = F.broadcast(keys)
+                stored = self._partitioned(name)
+                hit = stored.select(key, column).join(keys, key, "left_semi").select(column)
+                # one row per partition of the table, which bounds it: days of retention, or
+                # ten thousand ranges for a hundred billion ids
+                parts = F.broadcast(hit.unionByName(new.select(part)).distinct())
+                touched = stored.join(parts, column, "left_semi").drop(column)
             else:
                 touched = self._empty(name)
             merged = upsert(touched, new, key, refresh)
-            merged.withColumn(DAY, day).write.mode("overwrite").parquet(staged)
+            merged.withColumn(column, part).write.mode("overwrite").parquet(f"{aside}/merged")
         (
-            self.spark.read.parquet(staged)
+            self.spark.read.parquet(f"{aside}/merged")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(DAY)
+            .partitionBy(column)
             .parquet(self.path(name))
         )
+        fs, marker = self._fs(f"{aside}/done")
+        fs.createNewFile(marker)
+        self._delete(f"{aside}/merged")
+        self._delete(f"{aside}/new")
+
+    def drop_days(self, before: dt.date) -> list[str]:
+        """Retention on stored posts: delete the days wholly before the cutoff."""
+        days = self._children(self.path("raw_data"), "create_date=")
+        old = [day for day in days if day.removeprefix("create_date=") < before.isoformat()]
+        for day in old:
+            self._delete(f"{self.path('raw_data')}/{day}")
+        return old
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:

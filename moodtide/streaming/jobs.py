@@ -103,7 +103,7 @@ def ingest_stream(pages: DataFrame, tables: Tables, as_of: dt.datetime, checkpoi
 
     def land(batch: DataFrame, batch_id: int) -> None:
         posts = page_ops.landed_rows(page_ops.page_posts(batch, as_of), as_of)
-        tables.merge_partitions(
+        tables.merge(
             "raw_data", posts, "source_post_id", ["post_time", "update_time"], "seq", batch_id
         )
 

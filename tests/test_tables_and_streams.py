@@ -67,7 +67,7 @@ def test_merge_rewrites_only_touched_days(spark, tables):
     refresh = ["post_time", "update_time"]
 
     def merge(batch_id, *posts):
-        tables.merge_partitions("raw_data", landed(spark, *posts), "source_post_id", refresh, "seq", batch_id)
+        tables.merge("raw_data", landed(spark, *posts), "source_post_id", refresh, "seq", batch_id)
 
     merge(0, ("11111111", "a", T0, T0, 1), ("22222222", "b", T0, T0 - day, 1), ("33333333", "c", T0, T0 - 2 * day, 1))
     import glob
@@ -86,10 +86,45 @@ def test_merge_rewrites_only_touched_days(spark, tables):
     after = files()
     same = {d for d in before if before[d] == after[d]}
     assert same == {"create_date=2024-01-28", "create_date=2024-01-29"}
-    merge(1, *again)  # replay
+    merge(2, ("55555555", "e", T0, T0, 1))
+    merge(1, *again)  # a replay of what is done must not bring the older state back
+    want.append(("55555555", "e", T0))
     assert by(tables.posts().select("source_post_id", "content", "post_time"), "source_post_id") == want
 
 
+def test_sentiment_merges_by_id_range(spark, tables):
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TABLES["user_sentiment"])
+    refresh = ["user_id", "clean_content", "sentiment_score", "sentiment_label", "analyze_time"]
+
+    def merge(batch_id, *scored):
+        data = [(i, i, "u", "t", score, "x", T0, seq) for i, score, seq in scored]
+        rows = spark.createDataFrame(data, schema + ", seq int")
+        tables.merge("user_sentiment", rows, "raw_data_id", refresh, "seq", batch_id)
+
+    merge(0, (1, 0.1, 1), (20_000_000, 0.2, 1))
+    merge(1, (1, 0.8, 1), (1, 0.9, 2), (2, 0.3, 1))
+    got = by(tables.stored("user_sentiment").select("raw_data_id", "sentiment_score"), "raw_data_id")
+    assert got == [(1, 0.9), (2, 0.3), (20_000_000, 0.2)]
+
+
+def test_old_days_are_dropped(spark, tables):
+    day = dt.timedelta(days=1)
+    posts = landed(spark, *[(f"1111111{i}", "x", T0, T0 - i * day, 1) for i in (0, 15, 16)])
+    tables.merge("raw_data", posts, "source_post_id", ["post_time", "update_time"], "seq", 0)
+    assert batch.prune(tables, T0) == ["create_date=2024-01-14"]
+    assert tables.posts().count() == 2
+
+
+def test_a_batch_can_be_run_again(spark, tables):
+    one = spark.createDataFrame([(0, "u", page((10000001, "ann", "good", "2024-01-30 10:00")))], PAGES)
+    batch.run(tables, one, scorer_by_words, T0, 0)
+    for _ in range(2):
+        batch.clean(tables, T0, 0)
+        batch.score(tables, scorer_by_words, T0, 0)
+    assert tables.appended("posts_clean").count() == tables.appended("posts_scored").count() == 1
+    assert tables.stored("user_sentiment").count() == 1
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark):
     raw = save_bucketed(spark.range(100).withColumn("v", F.col("id") * 2), "bucketed_raw", "id", 4)
     clean = save_bucketed(spark.range(50), "bucketed_clean", "id", 4)
@@ -125,7 +160,7 @@ def test_whole_round(spark, tables):
     )
     assert batch.run(tables, first, scorer_by_words, T0, 0)["upsert_rows"] == 4
     assert tables.posts().count() == 3
-    sentiment = by(tables.read("user_sentiment").select("raw_data_id", "clean_content", "sentiment_label"), "raw_data_id")
+    sentiment = by(tables.stored("user_sentiment").select("raw_data_id", "clean_content", "sentiment_label"), "raw_data_id")
     # post 3 cleans to nothing and stays behind; one hit ties with the neutral logit
     assert sentiment == [(10000001, "good good", "乐观"), (10000002, "bad", "悲观")]
     assert [r[0] for r in by(tables.read("risk_profile"), "user_id")] == ["ann"]
@@ -133,13 +168,13 @@ def test_whole_round(spark, tables):
 
     second = pages(page((10000004, "bob", "good", "2024-01-30 13:00"), (10000005, "bob", "bad", "2024-01-30 13:00")))
     batch.run(tables, second, scorer_by_words, T0 + dt.timedelta(hours=1), 1)
-    assert tables.read("user_sentiment").count() == 4
+    assert tables.stored("user_sentiment").count() == 4
     assert [r[0] for r in by(tables.read("risk_profile"), "user_id")] == ["ann", "bob"]
 
     # nothing new: a third round changes no answer
     before = by(tables.read("risk_profile").drop("update_time"), "user_id")
     batch.run(tables, second, scorer_by_words, T0 + dt.timedelta(hours=2), 2)
-    assert tables.read("user_sentiment").count() == 4
+    assert tables.stored("user_sentiment").count() == 4
     assert by(tables.read("risk_profile").drop("update_time"), "user_id") == before
 
 
