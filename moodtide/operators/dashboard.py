@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moodtide.functions.risk import market_band
 
 
 def risk_distribution(profiles: DataFrame) -> DataFrame:
-    """Users and share per level; at most one row per level reaches the total."""
+    """Users and share per level, from one pass over the profiles.
+
+    The total is taken over the counts: a row per level is all that reaches that one task.
+    """
     counts = profiles.groupBy("risk_level").agg(F.count(F.lit(1)).alias("user_count"))
-    total = profiles.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = F.sum("user_count").over(W.partitionBy())
     return counts.select(
-        "risk_level",
-        "user_count",
-        (F.col("user_count") / total).alias("user_share"),
+        "risk_level", "user_count", (F.col("user_count") / total).alias("user_share")
     ).orderBy("risk_level")
 
 

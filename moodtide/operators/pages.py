@@ -164,12 +164,8 @@ def landed_rows(
 def ingest_counters(pages: DataFrame, posts: DataFrame) -> DataFrame:
     """Pages read, pages with posts, rows handed to the upsert, distinct posts among them."""
     read = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
-    by_page = posts.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
-    with_posts = by_page.agg(F.count(F.lit(1)).alias("n")).scalar()
-    by_id = posts.groupBy("source_post_id").agg(F.count(F.lit(1)).alias("n"))
-    return by_id.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("upsert_rows"),
-        F.count(F.lit(1)).alias("distinct_posts"),
-    ).select(
-        read.alias("pages"), with_posts.alias("pages_with_posts"), "upsert_rows", "distinct_posts"
-    )
+    return posts.agg(
+        F.count_distinct("page_id").alias("pages_with_posts"),
+        F.count(F.lit(1)).alias("upsert_rows"),
+        F.count_distinct("source_post_id").alias("distinct_posts"),
+    ).select(read.alias("pages"), "pages_with_posts", "upsert_rows", "distinct_posts")
