@@ -36,9 +36,16 @@ def risk_profiles(scored: DataFrame, min_posts: int = MIN_POSTS) -> DataFrame:
 
 
 def missing_profiles(requested: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Requested users without a profile."""
-    return requested.select("user_id").join(profiles.select("user_id"), "user_id", "left_anti")
+    """Requested users without a profile, each once.
+
+    Ids are made distinct before the join, which then finds them partitioned already; an id
+    requested very often is folded on the map side.
+    """
+    asked = requested.select("user_id").distinct()
+    return asked.join(profiles.select("user_id"), "user_id", "left_anti")
 
 
 def known_profiles(requested: DataFrame, profiles: DataFrame) -> DataFrame:
-    return profiles.join(requested.select("user_id"), "user_id", "left_semi")
+    """Profiles of the requested users."""
+    asked = requested.select("user_id").distinct()
+    return profiles.join(asked, "user_id", "left_semi")

@@ -22,7 +22,8 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    to_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    split = to_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = estimated_bytes(df)
     if size >= cores * split:
         return df

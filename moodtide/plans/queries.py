@@ -240,7 +240,7 @@ def risk_profiles(spark, sf_dir):
 
 @query
 def missing_profiles(spark, sf_dir):
-    asked = views.posts(spark, sf_dir).select("user_id").distinct()
+    asked = views.posts(spark, sf_dir).select("user_id")
     return profile.missing_profiles(asked, _profiles(spark, sf_dir))
 
 

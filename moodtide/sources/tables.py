@@ -23,7 +23,7 @@ from moodtide.operators.upsert import one_per_key, upsert
 from moodtide.schemas import TABLES
 
 IDS_PER_RANGE = 10_000_000
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 200_000
 
 # table -> partition column, its type, how a row gets it
 LAYOUT = {

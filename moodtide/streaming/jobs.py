@@ -21,6 +21,8 @@ from moodtide.operators.trend import hourly_sentiment
 from moodtide.operators.upsert import upsert
 from moodtide.sources.tables import Tables
 
+BROADCAST_HOURS = 200_000
+
 STATS = T.StructType(
     [
         T.StructField("user_id", T.StringType()),
@@ -171,7 +173,7 @@ def profile_stream(scored: DataFrame, tables: Tables, checkpoint: str) -> None:
 
 def touched_hours(stored: DataFrame, incoming: DataFrame, key: str = "source_post_id") -> DataFrame:
     """Hours a correction of post times takes posts from or gives posts to."""
-    left = stored.join(incoming.select(key), key, "left_semi").select(
+    left = stored.join(incoming.select(key).distinct(), key, "left_semi").select(
         floor_hour(F.col("post_time")).alias("hour")
     )
     gained = incoming.select(floor_hour(F.col("post_time")).alias("hour"))
@@ -181,14 +183,15 @@ def touched_hours(stored: DataFrame, incoming: DataFrame, key: str = "source_pos
 def corrected_hours(hourly: DataFrame, posts: DataFrame, hours: DataFrame) -> DataFrame:
     """Hourly means with the given hours computed anew from the corrected posts.
 
-    There is one row per hour of the calendar (a century is under a million), which bounds
-    what is broadcast.
+    ``hours`` is a stored table of distinct hours. It is counted before it is broadcast.
     """
+    if hours.count() <= BROADCAST_HOURS:
+        hours = F.broadcast(hours)
     anew = posts.withColumn("hour", floor_hour(F.col("post_time"))).join(
-        F.broadcast(hours), "hour", "left_semi"
+        hours, "hour", "left_semi"
     )
     fresh = hourly_sentiment(anew.drop("hour"), digits=None)
-    return hourly.join(F.broadcast(hours), "hour", "left_anti").unionByName(fresh)
+    return hourly.join(hours, "hour", "left_anti").unionByName(fresh)
 
 
 def correction_stream(corrections: DataFrame, tables: Tables, checkpoint: str) -> None:
@@ -200,7 +203,8 @@ def correction_stream(corrections: DataFrame, tables: Tables, checkpoint: str) -
     def apply(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
         stored = tables.read("posts", before=version)
-        hours = touched_hours(stored, batch)
+        tables.replace("touched_hours", touched_hours(stored, batch), version)
+        hours = tables.read("touched_hours", before=version + 1)
         hourly = tables.read("hourly", before=version)
         tables.replace(
             "posts",
