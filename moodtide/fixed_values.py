@@ -31,6 +31,20 @@ VISIBLE_TIME_PATTERN = (
     "|\\d{2}[-/]\\d{2}\\s+\\d{2}:\\d{2})"
 )
 
+# --- fixed values: what marks posts, authors and times on a list page -------
+POST_ID_ATTRIBUTE = "data-postid"
+OLD_ROW_CLASS = "articleh"
+OLD_LINK_PART = "/news,"
+AUTHOR_CLASSES = ["l4", "author", "uname"]
+TIME_CLASSES = ["l5", "update"]
+TIME_CLASS_PART = "time"
+ROW_SEARCH_LEVELS = 5
+
+# --- fixed values: keys of the JSON inside a page's scripts -----------------
+SCRIPT_ID_KEY = "post_id"
+SCRIPT_SOURCE_ID_KEY = "source_post_id"
+SCRIPT_TIME_KEY = "post_publish_time"
+
 # --- fixed values: names of where a post time was found ---------------------
 TIME_FROM_SCRIPT = "script_json"
 TIME_FROM_TAG = "dom_time_tag"

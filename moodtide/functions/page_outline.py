@@ -11,19 +11,28 @@ import re
 from bisect import bisect_left
 from html.parser import HTMLParser
 
-from moodtide.fixed_values import VISIBLE_TIME_PATTERN
+from moodtide.fixed_values import (
+    AUTHOR_CLASSES,
+    OLD_LINK_PART,
+    OLD_ROW_CLASS,
+    POST_ID_ATTRIBUTE,
+    ROW_SEARCH_LEVELS,
+    SCRIPT_ID_KEY,
+    SCRIPT_SOURCE_ID_KEY,
+    SCRIPT_TIME_KEY,
+    TIME_CLASS_PART,
+    TIME_CLASSES,
+    VISIBLE_TIME_PATTERN,
+)
 
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 HIDDEN_TEXT_TAGS = frozenset("script style template rt rp".split())
-AUTHOR_CLASSES = {"l4", "author", "uname"}
-TIME_CLASSES = {"l5", "update"}
-CLIMB = 5
 
 _VISIBLE_TIME = re.compile(VISIBLE_TIME_PATTERN)
-_NAMED_ID = re.compile(r'"(post_id|source_post_id)"\s*:\s*(?:"(\d+)"|(\d+))')
-_PUBLISH_TIME = re.compile(r'"post_publish_time"\s*:\s*"([^"]+)"')
+_NAMED_ID = re.compile(rf'"({SCRIPT_ID_KEY}|{SCRIPT_SOURCE_ID_KEY})"\s*:\s*(?:"(\d+)"|(\d+))')
+_PUBLISH_TIME = re.compile(rf'"{SCRIPT_TIME_KEY}"\s*:\s*"([^"]+)"')
 _JSON_MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
 
 
@@ -127,13 +136,13 @@ def hyperlinks(html: str) -> list[dict]:
 
 
 def _post_anchors(page: Outline) -> list[int]:
-    marked = page.where(lambda i: page.tags[i] == "a" and "data-postid" in page.attrs[i])
+    marked = page.where(lambda i: page.tags[i] == "a" and POST_ID_ATTRIBUTE in page.attrs[i])
     if marked:
         return marked
     news = page.where(
-        lambda i: page.tags[i] == "a" and "/news," in page.attrs[i].get("href", "")
+        lambda i: page.tags[i] == "a" and OLD_LINK_PART in page.attrs[i].get("href", "")
     )
-    rows = page.where(lambda i: page.tags[i] == "div" and "articleh" in page.classes(i))
+    rows = page.where(lambda i: page.tags[i] == "div" and OLD_ROW_CLASS in page.classes(i))
     firsts = [page.first_inside(row, news) for row in rows]
     return [i for i in firsts if i is not None]
 
@@ -141,16 +150,16 @@ def _post_anchors(page: Outline) -> list[int]:
 def post_links(html: str) -> list[dict]:
     """Post anchors with author and time taken from the nearest row that shows either."""
     page = Outline(html)
-    authors = page.where(lambda i: not AUTHOR_CLASSES.isdisjoint(page.classes(i)))
+    authors = page.where(lambda i: not set(AUTHOR_CLASSES).isdisjoint(page.classes(i)))
     times = page.where(
-        lambda i: not TIME_CLASSES.isdisjoint(page.classes(i))
-        or "time" in page.attrs[i].get("class", "")
+        lambda i: not set(TIME_CLASSES).isdisjoint(page.classes(i))
+        or TIME_CLASS_PART in page.attrs[i].get("class", "")
     )
     visible: dict[int, str | None] = {}
     found = []
     for pos, anchor in enumerate(_post_anchors(page)):
         row = page.parent[anchor]
-        for _ in range(CLIMB):
+        for _ in range(ROW_SEARCH_LEVELS):
             if row < 0 or any(
                 page.first_inside(row, marks) is not None for marks in (authors, times)
             ):
@@ -170,7 +179,7 @@ def post_links(html: str) -> list[dict]:
         found.append(
             {
                 "pos": pos,
-                "attr_id": page.attrs[anchor].get("data-postid"),
+                "attr_id": page.attrs[anchor].get(POST_ID_ATTRIBUTE),
                 "href": page.attrs[anchor].get("href"),
                 "title": page.text(anchor),
                 "author": author,
@@ -209,12 +218,12 @@ def _script_times(scripts: list[str]) -> dict[str, str]:
     ``source_post_id``; of each kind only the first mention in a script counts."""
     times: dict[str, str] = {}
     for script in scripts:
-        if "post_publish_time" not in script:
+        if SCRIPT_TIME_KEY not in script:
             continue
         mentions: dict[tuple[int, str], int] = {}
         for match in _NAMED_ID.finditer(script):
             name, quoted, plain = match.groups()
-            if name == "post_id":
+            if name == SCRIPT_ID_KEY:
                 mentions.setdefault((1, quoted) if quoted else (0, plain), match.start())
             elif quoted:
                 mentions.setdefault((2, quoted), match.start())

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodtide.fixed_values import (
+    OLD_ROW_CLASS,
+    POST_ID_ATTRIBUTE,
     SOURCE_PLATFORM,
     STATUS_RAW,
     TIME_FROM_SCRIPT,
@@ -88,7 +90,7 @@ def page_posts(pages: DataFrame, as_of: dt.datetime) -> DataFrame:
     Pages that cannot hold a post link never reach Python. A link whose title is empty still
     hides later links of the same id on that page.
     """
-    listing = pages.where(F.col("html").rlike("(?i)data-postid|articleh"))
+    listing = pages.where(F.col("html").rlike(f"(?i){POST_ID_ATTRIBUTE}|{OLD_ROW_CLASS}"))
     found = _per_page(listing, page_outline.post_links, POST_LINK_SCHEMA)
     attr_id = F.regexp_replace("attr_id", "^\\s+|\\s+\\z", "")
     own_id = F.coalesce(F.nullif(attr_id, F.lit("")), post_id_from_href(F.col("href")))

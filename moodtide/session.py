@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -35,13 +36,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. A temporary one only where the session names none."""
-    configured = spark.conf.get(CHECKPOINT_DIR, None)
-    if configured is None:
-        configured = spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if configured is None:
-        configured = tempfile.mkdtemp(prefix="moodtide-")
-        spark.conf.set(CHECKPOINT_DIR, configured)
-    return configured.rstrip("/")
+    named = spark.conf.get(CHECKPOINT_DIR, None)
+    if named is None:
+        named = spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    return (named or _temporary_dir(spark.sparkContext.applicationId)).rstrip("/")
+
+
+@functools.cache
+def _temporary_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"moodtide-{application}-")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
