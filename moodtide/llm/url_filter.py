@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodtide.llm.frames import UPPER
+from moodtide.llm.frames import UPPER, stored
 
 #: Suffixes of two labels below which names are registered; one label otherwise.
 LONG_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "org.uk")
 MAX_RULES = 1000
-LEVELS = ("suffix", "domain", "host")
 
 
 def host_of(url: Column) -> Column:
@@ -57,7 +56,7 @@ def domain_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Col
     return F.when(long, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
-def strength(children: DataFrame) -> Column:
+def strength() -> Column:
     """Weight of the prior in labelled pages, by the moments of ``k`` of ``n`` around mean ``m``.
 
     Beta-binomial counts vary by n m (1 - m) (1 + (n - 1) rho), and the weight is 1 / rho - 1.
@@ -70,18 +69,16 @@ def strength(children: DataFrame) -> Column:
     return 1 / bounded - 1
 
 
-def shrink(children: DataFrame, parents: DataFrame, parent: str, level: str) -> DataFrame:
-    """Counts of ``level`` with the parent's mean as prior: adds a, b and the shrunk mean."""
+def shrink(children: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
+    """Counts of one level with the parent's mean as prior: adds a, b and the shrunk mean."""
     known = children.join(parents.select(parent, F.col("mean").alias("m")), parent)
-    weight = known.agg(strength(known).alias("s")).select(F.lit(1).alias("one"), "s")
-    # one row of one number: an equi-join on a constant
+    weight = known.groupBy("whole").agg(strength().alias("s"))  # one row
     return (
-        known.withColumn("one", F.lit(1))
-        .join(F.broadcast(weight), "one")
+        known.join(F.broadcast(weight), "whole")
         .withColumn("a", F.col("s") * F.col("m") + F.col("k"))
         .withColumn("b", F.col("s") * (1 - F.col("m")) + F.col("n") - F.col("k"))
         .withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
-        .drop("one", "s", "m")
+        .drop("s", "m")
     )
 
 
@@ -101,22 +98,23 @@ def host_reputation(
     counted = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("k")
     )
-    hosts = (
+    hosts = stored(
         pages.select("page_id", "host")
         .join(counted, "page_id", "left")
         .groupBy("host")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
         .withColumn("domain", domain_of(F.col("host"), long_suffixes))
         .withColumn("suffix", suffix_of(F.col("host"), long_suffixes))
-        .withColumn("whole", F.lit("all"))
+        .withColumn("whole", F.lit("all")),
+        "hosts",
     )
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     domains = hosts.groupBy("whole", "suffix", "domain").agg(*sums)
     suffixes = domains.groupBy("whole", "suffix").agg(*sums)
     whole = suffixes.groupBy("whole").agg(*sums).select("whole", ((F.col("k") + 0.5) / (F.col("n") + 1)).alias("mean"))
-    by_suffix = shrink(suffixes, whole, "whole", "suffix")
-    by_domain = shrink(domains, by_suffix, "suffix", "domain")
-    by_host = shrink(hosts, by_domain, "domain", "host")
+    by_suffix = shrink(suffixes, whole, "whole")
+    by_domain = shrink(domains, by_suffix, "suffix")
+    by_host = shrink(hosts, by_domain, "domain")
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("a") + F.col("b") + 1))
     return by_host.select(
         "host", "n", "k", "mean",
