@@ -25,6 +25,8 @@ FINE = 1024
 BITS = 2
 FINE_NUMBERS = FINE * BITS // 64
 FIRST_NUMBERS = 4
+#: Bits of the filter (1 MB) that keeps texts without a candidate out of a shuffle.
+FILTER_BITS = 1 << 23
 FINE_AT_ONCE = 64
 SKETCH = "struct<k1:long,k2:long,n_words:long,bands:array<long>>"
 SKETCH_TYPE = pa.struct(
@@ -202,11 +204,30 @@ def similarity(a: Column, b: Column) -> Column:
     return similar(a, b)
 
 
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ``wanted``, and some others, without a shuffle of ``rows``.
+
+    The keys mark hashed places of a bitmap of FILTER_BITS bits, which is all that is broadcast.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    marks = (
+        wanted.select(place.alias("place"))
+        .groupBy(F.bitmap_bucket_number("place").alias("mark_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks"))
+    )
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("marks", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    near = rows.withColumn("mark_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "mark_bucket")
+    return near.where(F.call_function("bit_get", byte, (at % 8).cast("int")) == 1).drop("mark_bucket", "marks")
+
+
 def sets_of(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """node and cells of every text in a pair (a, b); texts: node, text."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = texts.join(wanted, "node", "left_semi").select("node", cell_sets(F.col("text"), size).alias("cells"))
-    return stored(found.dropDuplicates(["node"]), "cells")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    found = maybe_in(texts, wanted, "node").join(wanted, "node", "left_semi")
+    return stored(
+        found.select("node", cell_sets(F.col("text"), size).alias("cells")).dropDuplicates(["node"]), "cells"
+    )
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
