@@ -89,8 +89,9 @@ def build_record(page_id, url, payload: bytes, digest: str, refers_to, date: str
 
 def train(samples: list[bytes]) -> bytes | None:
     """A dictionary from the first payloads of the archive; none where they are too few."""
+    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
         return None
 
@@ -101,7 +102,7 @@ class Archive:
     def __init__(self, folder: str, samples: list[bytes]) -> None:
         self.name = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         files, path = fs.FileSystem.from_uri(self.name)
-        self.out = files.open_output_stream(path)
+        self.out = files.open_output_stream(path, compression=None)
         self.records = self.bytes = 0
         dictionary = train(samples)
         if dictionary:
@@ -282,7 +283,7 @@ def read_archive(archive: str, records: int | None, payloads: bool) -> Iterator[
     if frames are damaged or their number is not ``records``."""
     files, path = fs.FileSystem.from_uri(archive)
     seen, offset, none = 0, 0, dict.fromkeys(name for name, _ in RECORD_FIELDS)
-    with files.open_input_stream(path) as stream:
+    with files.open_input_stream(path, compression=None) as stream:
         try:
             for offset, data in frames(stream):
                 seen += 1
