@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from html.parser import HTMLParser
 
 from moodtide.fixed_values import (
@@ -52,6 +53,8 @@ class Outline(HTMLParser):
         self.scripts: list[str] = []
         self._open: list[int] = []
         self._buffer: list[str] = []
+        self._hidden = 0
+        self._open_tags: Counter[str] = Counter()
         self._enter("[document]", {})
         self.feed(html)
         self.close()
@@ -67,13 +70,14 @@ class Outline(HTMLParser):
         self._buffer = []
         if self.tags[self._open[-1]] == "script":
             self.scripts.append(text)
-        hidden = any(self.tags[i] in HIDDEN_TEXT_TAGS for i in self._open)
-        if not hidden and text.strip():
+        if not self._hidden and text.strip():
             self.texts.append(text.strip())
 
     def _enter(self, tag: str, attrs: dict[str, str]) -> None:
         self.parent.append(self._open[-1] if self._open else -1)
         self._open.append(len(self.tags))
+        self._open_tags[tag] += 1
+        self._hidden += tag in HIDDEN_TEXT_TAGS
         self.tags.append(tag)
         self.attrs.append(attrs)
         self.last.append(-1)
@@ -84,6 +88,8 @@ class Outline(HTMLParser):
         self._flush()
         while len(self._open) > depth:
             element = self._open.pop()
+            self._open_tags[self.tags[element]] -= 1
+            self._hidden -= self.tags[element] in HIDDEN_TEXT_TAGS
             self.last[element] = len(self.tags) - 1
             self.text_to[element] = len(self.texts)
 
@@ -95,6 +101,8 @@ class Outline(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
+        if not self._open_tags[tag]:
+            return
         for depth in range(len(self._open) - 1, 0, -1):
             if self.tags[self._open[depth]] == tag:
                 self._leave(depth)
@@ -125,16 +133,6 @@ class Outline(HTMLParser):
         return None
 
 
-def hyperlinks(html: str) -> list[dict]:
-    """Every anchor that has a target: (pos, href, text)."""
-    page = Outline(html)
-    anchors = page.where(lambda i: page.tags[i] == "a" and "href" in page.attrs[i])
-    return [
-        {"pos": pos, "href": page.attrs[i]["href"], "text": page.text(i)}
-        for pos, i in enumerate(anchors)
-    ]
-
-
 def _post_anchors(page: Outline) -> list[int]:
     marked = page.where(lambda i: page.tags[i] == "a" and POST_ID_ATTRIBUTE in page.attrs[i])
     if marked:

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from moodtide.fixed_values import CLEAN_CONTENT_CHARS, CLEANING_STEPS
+from moodtide.fixed_values import CLEANING_STEPS
 
 # A text without any of these is not changed by the steps that take something out.
 REMOVAL_MARKS = ["<", "http", "$"]
@@ -20,8 +20,8 @@ def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
     )
 
 
-def clean_text(content: Column, max_chars: int = CLEAN_CONTENT_CHARS) -> Column:
-    """Markup, links and ticker spans out; white space folded; trimmed; then cut.
+def clean_text(content: Column, max_chars: int | None = None) -> Column:
+    """Markup, links and ticker spans out; white space folded; trimmed; cut only if asked to.
 
     Plain substring tests skip the patterns that cannot match, which is most of the cost on
     ordinary posts. They read ``content`` itself and one intermediate result, so even where
@@ -35,4 +35,5 @@ def clean_text(content: Column, max_chars: int = CLEAN_CONTENT_CHARS) -> Column:
     folded = F.when(
         F.contains(one_line, F.lit("  ")), _replaced(one_line, [space_runs])
     ).otherwise(one_line)
-    return F.substring(F.trim(folded), 1, max_chars)
+    whole = F.trim(folded)
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)

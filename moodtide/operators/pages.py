@@ -26,16 +26,10 @@ from moodtide.fixed_values import (
 from moodtide.functions import page_outline
 from moodtide.functions.ids import is_valid_post_id, post_id_from_href
 from moodtide.functions.times import ntz, parse_post_time
-from moodtide.operators.spread import spread
 
-LINK_SCHEMA = T.StructType(
-    [
-        T.StructField("page_id", T.LongType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("href", T.StringType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
+PAGES_AT_ONCE = 64
+#: A link with a quoted target, and what stands inside it.
+ANCHOR = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 POST_LINK_SCHEMA = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
@@ -59,15 +53,17 @@ def _per_page(pages: DataFrame, read: Callable[[str], list[dict]], schema: T.Str
 
     def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, htmls = (batch.column(c).to_pylist() for c in ("page_id", "html"))
-            rows = [
-                {"page_id": page_id, **found}
-                for page_id, html in zip(ids, htmls)
-                for found in read(html)
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
+            # a few pages at a time, whatever the batch holds
+            for begin in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(begin, PAGES_AT_ONCE)
+                rows = [
+                    {"page_id": page_id.as_py(), **found}
+                    for page_id, html in zip(part.column("page_id"), part.column("html"))
+                    for found in read(html.as_py())
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
-    return spread(pages.select("page_id", "html")).mapInArrow(read_batches, schema)
+    return pages.select("page_id", "html").mapInArrow(read_batches, schema)
 
 
 def page_range(pages: DataFrame, first: int, last: int, column: str = "page_id") -> DataFrame:
@@ -76,9 +72,16 @@ def page_range(pages: DataFrame, first: int, last: int, column: str = "page_id")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, href, text) of all hyperlinks, the first of each target per page."""
-    found = _per_page(
-        pages.where(F.col("html").isNotNull()), page_outline.hyperlinks, LINK_SCHEMA
+    """(page_id, pos, href, text) of all hyperlinks, the first of each target per page.
+
+    Targets and texts stand as the page has them: character references are not resolved.
+    """
+    anchors = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
+    found = pages.select("page_id", F.posexplode(anchors).alias("pos", "link")).select(
+        "page_id",
+        "pos",
+        F.regexp_extract("link", ANCHOR, 1).alias("href"),
+        F.trim(F.regexp_replace(F.regexp_extract("link", ANCHOR, 2), "<[^>]*>", "")).alias("text"),
     )
     seen = W.partitionBy("page_id", "href").orderBy("pos")
     return found.withColumn("_n", F.row_number().over(seen)).where(F.col("_n") == 1).drop("_n")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodtide.fixed_values import STATUS_CLEANED, STATUS_RAW, STATUS_SCORED
+from moodtide.fixed_values import CLEAN_CONTENT_CHARS
 from moodtide.functions.text import clean_text
 from moodtide.functions.times import ntz
 
@@ -50,11 +51,15 @@ def scorable_by_status(posts: DataFrame) -> DataFrame:
     ).select("id", "user_id", "clean_content")
 
 
-def clean_batch(pending: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Rows to append to the cleaned table, stamped with one time per batch."""
-    return pending.select(
-        "id", clean_text(F.col("content")).alias("clean_content"), ntz(as_of).alias("update_time")
-    )
+def clean_batch(
+    pending: DataFrame, as_of: dt.datetime, max_chars: int | None = CLEAN_CONTENT_CHARS
+) -> DataFrame:
+    """Rows to append to the cleaned table, stamped with one time per batch.
+
+    Posts keep ``max_chars`` characters of clean text, all of it with None.
+    """
+    clean = clean_text(F.col("content"), max_chars)
+    return pending.select("id", clean.alias("clean_content"), ntz(as_of).alias("update_time"))
 
 
 def scored_batch(sentiment: DataFrame, as_of: dt.datetime) -> DataFrame:

@@ -10,7 +10,6 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from moodtide.functions.times import ntz
@@ -24,20 +23,22 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def ingest(tables: Tables, pages: DataFrame, as_of: dt.datetime, batch: int) -> dict:
-    """Parse landed pages and upsert their posts. Returns the run's counters."""
-    counters = Observation("ingest")
-    posts = page_ops.page_posts(pages, as_of).observe(
-        counters, F.count(F.lit(1)).alias("upsert_rows")
+    """Parse landed pages and upsert their posts. Returns the run's counters.
+
+    The parsed rows stay with the batch, so a repeated round counts and merges the same ones.
+    """
+    landed = tables.landed(
+        "raw_data", batch, lambda: page_ops.landed_rows(page_ops.page_posts(pages, as_of), as_of)
     )
     tables.merge(
         "raw_data",
-        page_ops.landed_rows(posts, as_of),
+        landed,
         "source_post_id",
         ["post_time", "update_time"],
         "seq",
         batch,
     )
-    return counters.get
+    return {"upsert_rows": landed.count()}
 
 
 def clean(tables: Tables, as_of: dt.datetime, batch: int) -> None:
@@ -49,16 +50,18 @@ def score(tables: Tables, scorer: Scorer, as_of: dt.datetime, batch: int) -> Non
     """Score what is cleaned, then carry it over into ``user_sentiment``.
 
     The scored rows are read back, so the model runs once per post. What is carried over is
-    whatever ``user_sentiment`` lacks, so a round cut short between the two is made good.
+    this round's rows and whatever ``user_sentiment`` lacks of earlier ones, so a round cut short
+    between the two is made good, and a post that came back replaces its old score.
     """
     ready = status.scorable_posts(
         tables.posts(), tables.appended("posts_clean"), tables.appended("posts_scored", batch)
     )
     tables.append("posts_scored", status.scored_batch(scorer(ready), as_of), batch)
     known = tables.stored("user_sentiment").select(F.col("raw_data_id").alias("id"))
+    missed = tables.appended("posts_scored", batch).join(known, "id", "left_anti")
     rows = (
-        tables.appended("posts_scored")
-        .join(known, "id", "left_anti")
+        tables.batch("posts_scored", batch)
+        .unionByName(missed)
         .join(tables.appended("posts_clean").select("id", "clean_content"), "id")
         .join(tables.posts().select("id", "user_id"), "id")
     )
@@ -74,9 +77,12 @@ def profiles(tables: Tables, as_of: dt.datetime) -> None:
     tables.replace("risk_profile", upsert_profiles(tables.read("risk_profile"), fresh))
 
 
-def prune(tables: Tables, as_of: dt.datetime) -> list[str]:
-    """Drop the days past retention; readers filter the day the cutoff falls on."""
-    return tables.drop_days(cutoff(as_of).date())
+def prune(tables: Tables, as_of: dt.datetime) -> int:
+    """Delete posts past retention, to the second, and what the stages made of them.
+
+    Returns the number of posts deleted. One that is crawled again starts over as a new post.
+    """
+    return tables.drop_posts(cutoff(as_of), ("posts_clean", "posts_scored"))
 
 
 def reload_catalog(tables: Tables, products: DataFrame) -> int:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from moodtide.fixed_values import CLEAN_CONTENT_CHARS
+
 AS_OF = "TIMESTAMP '2024-01-30 23:00:00'"
 DAY_START = "TIMESTAMP '2024-01-30 00:00:00'"
 DAY_END = "TIMESTAMP '2024-01-31 00:00:00'"
 CUTOFF = "TIMESTAMP '2024-01-15 23:00:00'"
 
 
-def cleaned(text: str) -> str:
-    return (
-        "substring(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
+def cleaned(text: str, limit: int | None = None) -> str:
+    whole = (
+        "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
         f"regexp_replace({text}, '<[^>]+>', '', 'g'), 'https?://[^\\s]+', '', 'g'), "
-        "'\\$[^$]+\\$', '', 'g'), '[\\r\\n\\t]+', ' ', 'g'), '[ ]{2,}', ' ', 'g'), ' '), 1, 1000)"
+        "'\\$[^$]+\\$', '', 'g'), '[\\r\\n\\t]+', ' ', 'g'), '[ ]{2,}', ' ', 'g'), ' ')"
     )
+    return whole if limit is None else f"substring({whole}, 1, {limit})"
 
 
 def level(avg: str, sd: str) -> str:
@@ -275,6 +278,9 @@ def build() -> dict[str, str]:
     sql: dict[str, str] = {}
 
     sql["clean_documents"] = f"SELECT doc_id, {cleaned('text')} AS clean FROM documents"
+    sql["clean_limited"] = (
+        f"SELECT doc_id, {cleaned('text', CLEAN_CONTENT_CHARS)} AS clean FROM documents"
+    )
     sql["clean_pages"] = (
         f"SELECT page_id, {cleaned(chr(39).join(['concat(html, ', ' see ', ', url, ', '  end', ')']))}"
         " AS clean FROM pages"
@@ -282,7 +288,7 @@ def build() -> dict[str, str]:
     sql["clean_conversations"] = (
         f"SELECT conv_id, turn, {cleaned('text')} AS clean FROM conversations"
     )
-    sql["clean_posts"] = f"""WITH {POST} SELECT id, {cleaned("coalesce(content, '')")} AS clean_content,
+    sql["clean_posts"] = f"""WITH {POST} SELECT id, {cleaned("coalesce(content, '')", CLEAN_CONTENT_CHARS)} AS clean_content,
       {AS_OF} AS update_time FROM post WHERE process_status = 0"""
 
     sql["softmax_probabilities"] = f"""WITH {SOFTMAX} SELECT vec_id, round(p_negative, 9) AS p_negative,
@@ -392,7 +398,8 @@ def build() -> dict[str, str]:
         AS volatility_band FROM best"""
     tags = "CASE product_id % 3 WHEN 2 THEN {plain} ELSE 'a|b' END"
     sql["recommend_answer"] = f"""{BEST} SELECT user_id, rank, product_id, product_name, risk_rating,
-      {REASON} AS reason_code, true AS has_text, {tags.format(plain="''")} AS tags, purchase_url
+      {REASON} AS reason_code, true AS has_text,
+      true AS two_places, true AS near_score, {tags.format(plain="''")} AS tags, purchase_url
       FROM best"""
     sql["product_scores"] = f"""WITH {CATALOG} SELECT product_id,
       round({SCORE.format(v='CAST(0.25 AS DOUBLE)')}, 9) + 0.0 AS score FROM catalog"""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodtide import session
+from moodtide.fixed_values import CLEAN_CONTENT_CHARS
 from moodtide.functions import risk
 from moodtide.functions import sentiment as sent
 from moodtide.functions.ids import is_valid_post_id
@@ -69,6 +70,13 @@ def clean_documents(spark, sf_dir):
     return docs.select("doc_id", clean_text(F.col("text")).alias("clean"))
 
 
+@query
+def clean_limited(spark, sf_dir):
+    """The limit for posts, asked for openly."""
+    docs = views.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", clean_text(F.col("text"), CLEAN_CONTENT_CHARS).alias("clean"))
+
+
 @query
 def clean_pages(spark, sf_dir):
     text = F.concat("html", F.lit(" see "), "url", F.lit("  end"))
@@ -344,7 +352,8 @@ def recommend_bands(spark, sf_dir):
 @query
 def recommend_answer(spark, sf_dir):
     """The answer as shown, with the text made of the rounded numbers."""
-    shown = recommend.recommendations(best_products(spark, sf_dir))
+    best = best_products(spark, sf_dir)
+    shown = recommend.recommendations(best).join(best.select("user_id", "rank", "score"), ["user_id", "rank"])
     return shown.select(
         "user_id",
         "rank",
@@ -353,6 +362,8 @@ def recommend_answer(spark, sf_dir):
         "risk_rating",
         "reason_code",
         (F.length("recommend_reason") > 0).alias("has_text"),
+        (F.col("recommendation_score") == F.round("recommendation_score", 2)).alias("two_places"),
+        (F.abs(F.col("recommendation_score") - F.col("score")) <= 0.005 + 1e-9).alias("near_score"),
         F.array_join("tags", "|").alias("tags"),
         "purchase_url",
     )

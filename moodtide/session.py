@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", app_name: str = "moodtide") -> SparkSe
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.minPartitionNum", str(partitions))
         .getOrCreate()
     )
 
@@ -35,10 +36,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. A temporary one only where the session names none."""
+    """The cluster's shared folder. In local mode without one, a temporary folder."""
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named is None:
         named = spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    if named is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the whole cluster shares")
     return (named or _temporary_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 

@@ -14,6 +14,7 @@ Three ways to write, by how much of a table a batch touches:
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ from moodtide.operators.upsert import one_per_key, upsert
 from moodtide.schemas import TABLES
 
 IDS_PER_RANGE = 10_000_000
-BROADCAST_KEYS = 200_000
 
 # table -> partition column, its type, how a row gets it
 LAYOUT = {
@@ -79,6 +79,34 @@ class Tables:
             return self._empty(name)
         return self.spark.read.schema(TABLES[name]).parquet(*batches)
 
+    def batch(self, name: str, batch: int) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path(name)}/batch={batch}")
+
+    def landed(self, name: str, batch: int, make: Callable[[], DataFrame]) -> DataFrame:
+        """What came in with a batch, made and written once."""
+        path = f"{self.path(name)}-landed/batch={batch}"
+        if not self._exists(f"{path}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def forget(self, name: str, ids: DataFrame) -> None:
+        """Take rows of some ids out of a stage table; only batches that hold any are rewritten."""
+        if not self._children(self.path(name), "batch="):
+            return
+        schema = T.StructType([*TABLES[name].fields, T.StructField("batch", T.IntegerType())])
+        rows = self.spark.read.schema(schema).parquet(self.path(name))
+        # numbers of the rounds within retention
+        touched = [r["batch"] for r in rows.join(ids, "id", "left_semi").select("batch").distinct().collect()]
+        aside = f"{self.path(name)}-kept"
+        kept = rows.where(F.col("batch").isin(touched)).join(ids, "id", "left_anti")
+        kept.repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(aside)
+        for number in touched:
+            if self._exists(f"{aside}/batch={number}"):
+                left = self.spark.read.schema(TABLES[name]).parquet(f"{aside}/batch={number}")
+                self.append(name, left, number)
+            else:
+                self._delete(f"{self.path(name)}/batch={number}")
+
     # --- snapshots -------------------------------------------------------------------
 
     def versions(self, name: str) -> list[int]:
@@ -143,11 +171,11 @@ class Tables:
             one_per_key(incoming, key, seq, refresh).write.mode("overwrite").parquet(f"{aside}/new")
             new = self.spark.read.schema(TABLES[name]).parquet(f"{aside}/new")
             if self._exists(self.path(name)):
-                keys = new.select(key)
-                if keys.count() <= BROADCAST_KEYS:
-                    keys = F.broadcast(keys)
                 stored = self._partitioned(name)
-                hit = stored.select(key, column).join(keys, key, "left_semi").select(column)
+                if key in rule:  # the key says where its row lies
+                    hit = new.select(part)
+                else:
+                    hit = stored.select(key, column).join(new.select(key), key, "left_semi").select(column)
                 # one row per partition of the table, which bounds it: days of retention, or
                 # ten thousand ranges for a hundred billion ids
                 parts = F.broadcast(hit.unionByName(new.select(part)).distinct())
@@ -158,6 +186,7 @@ class Tables:
             merged.withColumn(column, part).write.mode("overwrite").parquet(f"{aside}/merged")
         (
             self.spark.read.parquet(f"{aside}/merged")
+            .repartition(column)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(column)
@@ -168,16 +197,31 @@ class Tables:
         self._delete(f"{aside}/merged")
         self._delete(f"{aside}/new")
 
-    def drop_days(self, before: dt.date) -> list[str]:
-        """Retention on stored posts: delete the days wholly before the cutoff."""
-        days = self._children(self.path("raw_data"), "create_date=")
-        old = [day for day in days if day.removeprefix("create_date=") < before.isoformat()]
-        for day in old:
-            self._delete(f"{self.path('raw_data')}/{day}")
-        return old
-
+    def drop_posts(self, before: dt.datetime, stages: tuple[str, ...] = ()) -> int:
+        """Retention: delete posts created before a time, and their rows in stage tables.
 
-def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
-    """Store a table hashed and sorted by its key, so key joins leave it where it is."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-    return df.sparkSession.table(table)
+        Whole days go with their folder; the day the time falls on is written anew. The ids are
+        written down first and the stage tables cleared before the posts, so a run cut short can
+        be repeated.
+        """
+        if not self._exists(self.path("raw_data")):
+            return 0
+        day = before.date()
+        early = self._partitioned("raw_data").where(F.col("create_date") <= F.lit(day))
+        expired = early.where(F.col("create_time") < F.lit(before).cast("timestamp_ntz"))
+        aside = f"{self.path('raw_data')}-expired"
+        expired.select("id").write.mode("overwrite").parquet(f"{aside}/ids")
+        ids = self.spark.read.parquet(f"{aside}/ids")
+        for stage in stages:
+            self.forget(stage, ids)
+        that_day = early.where(F.col("create_date") == F.lit(day))
+        kept = that_day.where(F.col("create_time") >= F.lit(before).cast("timestamp_ntz"))
+        kept.drop("create_date").write.mode("overwrite").parquet(f"{aside}/kept")
+        left = self.spark.read.schema(TABLES["raw_data"]).parquet(f"{aside}/kept")
+        for name in self._children(self.path("raw_data"), "create_date="):
+            found = name.removeprefix("create_date=")
+            if found < day.isoformat() or found == day.isoformat() and left.isEmpty():
+                self._delete(f"{self.path('raw_data')}/{name}")
+            elif found == day.isoformat():
+                left.write.mode("overwrite").parquet(f"{self.path('raw_data')}/{name}")
+        return ids.count()

@@ -8,6 +8,7 @@ from moodtide.functions import risk
 from moodtide.functions import sentiment as sent
 from moodtide.functions.ids import is_dirty_post_id, is_valid_post_id, post_id_from_href
 from moodtide.functions.tags import tags_array, tags_array_lenient
+from moodtide.fixed_values import CLEAN_CONTENT_CHARS
 from moodtide.functions.text import clean_text
 from moodtide.functions.times import floor_hour, hour_label, ntz, parse_post_time, visible_time
 
@@ -38,7 +39,9 @@ def test_clean_text_boundaries(evaluate):
         "y" * 999 + "😀z": "y" * 999 + "😀",
         "z" * 999 + " tail": "z" * 999 + " ",
     }
-    assert evaluate(clean_text, list(cases)) == list(cases.values())
+    limited = lambda c: clean_text(c, CLEAN_CONTENT_CHARS)
+    assert evaluate(limited, list(cases)) == list(cases.values())
+    assert evaluate(clean_text, ["x" * 1001]) == ["x" * 1001]
 
 
 def test_cleaned_text_holds_nothing_to_clean(evaluate):
@@ -47,7 +50,7 @@ def test_cleaned_text_holds_nothing_to_clean(evaluate):
     rng = random.Random(7)
     pieces = ["<b>", "</b>", "word", " ", "  ", "\n", "\t", "\r", "$AB$", "http://q.example/x ", "é"]
     texts = ["".join(rng.choices(pieces, k=rng.randint(1, 40))) for _ in range(300)]
-    for text in evaluate(clean_text, texts):
+    for text in evaluate(lambda c: clean_text(c, CLEAN_CONTENT_CHARS), texts):
         assert not any(mark in text for mark in ("<b>", "http://", "\n", "\r", "\t", "  "))
         assert len(text) <= 1000
 

@@ -112,3 +112,14 @@ def test_links_of_a_page(spark):
 def test_list_pages_keep_every_event(spark):
     events = views.table(spark, "/root/testdata/sf0.001", "events")
     assert views.list_pages_from(events).count() == -(-events.count() // views.POSTS_PER_PAGE)
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    from moodtide.functions.page_outline import post_links
+
+    html = "<p>text " * 20_000 + "</b>" * 20_000
+    started = time.process_time()
+    post_links(html)
+    assert time.process_time() - started < 2

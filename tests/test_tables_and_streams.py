@@ -8,7 +8,7 @@ from moodtide.plans import batch
 from moodtide.schemas import PAGES, TABLES
 from moodtide.session import fresh_dir, shared_dir
 from moodtide.sources import views
-from moodtide.sources.tables import Tables, save_bucketed
+from moodtide.sources.tables import Tables
 from moodtide.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 30, 23, 0)
@@ -111,8 +111,12 @@ def test_old_days_are_dropped(spark, tables):
     day = dt.timedelta(days=1)
     posts = landed(spark, *[(f"1111111{i}", "x", T0, T0 - i * day, 1) for i in (0, 15, 16)])
     tables.merge("raw_data", posts, "source_post_id", ["post_time", "update_time"], "seq", 0)
-    assert batch.prune(tables, T0) == ["create_date=2024-01-14"]
+    assert batch.prune(tables, T0) == 1
     assert tables.posts().count() == 2
+    # the cutoff falls inside a day
+    assert batch.prune(tables, T0 + dt.timedelta(seconds=1)) == 1
+    assert batch.prune(tables, T0 + dt.timedelta(seconds=1)) == 0
+    assert tables.posts().count() == 1
 
 
 def test_a_batch_can_be_run_again(spark, tables):
@@ -125,20 +129,6 @@ def test_a_batch_can_be_run_again(spark, tables):
     assert tables.stored("user_sentiment").count() == 1
 
 
-def test_bucketed_tables_join_without_a_shuffle(spark):
-    raw = save_bucketed(spark.range(100).withColumn("v", F.col("id") * 2), "bucketed_raw", "id", 4)
-    clean = save_bucketed(spark.range(50), "bucketed_clean", "id", 4)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = raw.join(clean, "id", "left_anti")
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan and joined.count() == 50
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.sql("DROP TABLE bucketed_raw")
-        spark.sql("DROP TABLE bucketed_clean")
-
-
 def scorer_by_words(df):
     return scorer.score_with_lexicon(df, ["good"], ["bad"])
 
@@ -171,6 +161,10 @@ def test_whole_round(spark, tables):
     assert tables.stored("user_sentiment").count() == 4
     assert [r[0] for r in by(tables.read("risk_profile"), "user_id")] == ["ann", "bob"]
 
+    # the same round once more, under its number
+    again = batch.run(tables, second, scorer_by_words, T0 + dt.timedelta(hours=1), 1)
+    assert again["upsert_rows"] == 2 and tables.stored("user_sentiment").count() == 4
+
     # nothing new: a third round changes no answer
     before = by(tables.read("risk_profile").drop("update_time"), "user_id")
     batch.run(tables, second, scorer_by_words, T0 + dt.timedelta(hours=2), 2)
@@ -251,3 +245,17 @@ def test_merge_stats_with_nothing(spark):
     stats = jobs.score_stats(posts)
     merged = jobs.merge_stats(spark.createDataFrame([], jobs.STATS), stats)
     assert by(merged, "user_id") == by(stats.select("user_id", "n", "mean", "m2"), "user_id")
+
+
+def test_a_pruned_post_starts_over(spark, tables):
+    def crawl(text, when, number):
+        one = spark.createDataFrame([(0, "u", page((10000001, "ann", text, "2024-01-30 10:00")))], PAGES)
+        return batch.run(tables, one, scorer_by_words, when, number)
+
+    crawl("good good", T0, 0)
+    later = T0 + dt.timedelta(days=20)
+    assert batch.prune(tables, later) == 1
+    assert tables.posts().count() == tables.appended("posts_clean").count() == tables.appended("posts_scored").count() == 0
+    crawl("now bad bad", later, 1)
+    assert [r["clean_content"] for r in tables.appended("posts_clean").collect()] == ["now bad bad"]
+    assert [r["clean_content"] for r in tables.stored("user_sentiment").collect()] == ["now bad bad"]
