@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from moodtide.llm.frames import stored
 
 
-def rounds_apart(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def all_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge upward at most, and none that has one is a centre itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("centre")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("centre"))
+    )
+    around = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("centre").alias("centre"))
+    return around.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("centre") == 1))).isEmpty()
 
 
 def linked_to_least(edges: DataFrame, upward: bool) -> DataFrame:
@@ -34,8 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, class_id for every node of an edge; class_id is the least node of its component.
 
     Loops and repeated edges do not matter, edges with a null end are left out. Each round writes
-    its edges to the shared folder, one per node in the end, and the driver sees only their number
-    and a checksum.
+    its edges to the shared folder. They are done when all are stars, one edge per node; then each
+    centre is the least node, as edges lead to smaller ones. The driver sees only whether they are.
     """
     edges = stored(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -43,14 +48,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = rounds_apart(edges)
-    while before[0]:
+    while not all_stars(edges):
         up = linked_to_least(edges, True).where("u <> v").distinct()
         edges = stored(linked_to_least(up, False).where("u <> v").distinct(), "edges")
-        now = rounds_apart(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class_id")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("class_id")).distinct()
     )

@@ -313,8 +313,10 @@ def near_duplicates(
     )
     more = stored(across, "pairs")
     if not more.isEmpty():
-        links = links.unionByName(verified(more, sets, least))
-        classes = components(links)
+        new_links = verified(more, sets, least)
+        known = classes.select(F.col("node").alias("a"), F.col("class_id").alias("b"))
+        classes = components(known.unionByName(new_links.select("a", "b")))
+        links = links.unionByName(new_links)
 
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     node_class = stored(
