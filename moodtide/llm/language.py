@@ -183,30 +183,33 @@ def fit(
     documents = sum(totals.values())
     df = np.zeros(DIMS, np.int64)
     per_task = rows.select("text").mapInArrow(document_frequencies, "feature int, df long")
-    for r in per_task.groupBy("feature").agg(F.sum("df").alias("df")).collect():
-        df[r["feature"]] = r["df"]
+    met = per_task.groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
+    df[met["feature"].to_numpy()] = met["df"].to_numpy()
     idf = np.log((1 + documents) / (1 + df)) + 1
 
     share = F.lit(1.0)
     for lang, n in totals.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     chosen = rows.where((F.pmod("draw", F.lit(1 << 40)) / F.lit(float(1 << 40))) < share)
-    sample = chosen.mapInArrow(sample_features, "lang string, draw long, at binary, n binary").collect()
-    sample = sorted(sample, key=lambda r: (r["draw"], r["lang"], r["at"]))
-    vectors = []
-    for r in sample:
-        at, n = np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.int32)
-        x = np.append(SCALE * n / max(1, n.sum()) * idf[at], 1.0)
-        vectors.append((np.append(at, DIMS), x, labels.index(r["lang"])))
-    held = max(1, int(len(vectors) * CALIBRATION_SHARE)) if len(vectors) >= 10 else 0
+    sample = chosen.mapInArrow(sample_features, "lang string, draw long, at binary, n binary").toArrow()
+    sample = sample.sort_by([("draw", "ascending"), ("lang", "ascending"), ("at", "ascending")]).combine_chunks()
+    y = np.array([labels.index(lang) for lang in sample["lang"].to_pylist()], int)
+
+    def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features of a sampled text and their values, made when asked for: they need far more room."""
+        at = np.frombuffer(sample["at"][i].as_buffer(), np.uint16).astype(np.int64)
+        n = np.frombuffer(sample["n"][i].as_buffer(), np.int32)
+        return np.append(at, DIMS), np.append(SCALE * n / max(1, n.sum()) * idf[at], 1.0)
+
+    held = max(1, int(len(y) * CALIBRATION_SHARE)) if len(y) >= 10 else 0
     learner = Ftrl(len(labels))
     order = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in order.permutation(len(vectors) - held) + held:
-            learner.learn(*vectors[i])
+        for i in order.permutation(len(y) - held) + held:
+            learner.learn(*vector(int(i)), y[i])
     weights = learner.weights(np.arange(DIMS + 1))
-    logits = np.array([x @ weights[at] for at, x, _ in vectors[:held]]).reshape(held, len(labels))
-    t = temperature(logits, np.array([y for _, _, y in vectors[:held]], int))
+    logits = np.array([x @ weights[at] for at, x in map(vector, range(held))]).reshape(held, len(labels))
+    t = temperature(logits, y[:held])
     return Model(labels, SCALE * idf[:, None] * weights[:DIMS] / t, weights[DIMS] / t)
 
 
