@@ -14,7 +14,8 @@ def all_stars(edges: DataFrame) -> bool:
         edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("centre"))
     )
     around = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("centre").alias("centre"))
-    return around.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("centre") == 1))).isEmpty()
+    wrong = (F.col("up") > 1) | ((F.col("up") == 1) & (F.col("centre") == 1))
+    return not around.agg(F.max(wrong)).first()[0]
 
 
 def linked_to_least(edges: DataFrame, upward: bool) -> DataFrame:
@@ -38,19 +39,19 @@ def linked_to_least(edges: DataFrame, upward: bool) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, class_id for every node of an edge; class_id is the least node of its component.
 
-    Loops and repeated edges do not matter, edges with a null end are left out. Each round writes
-    its edges to the shared folder. They are done when all are stars, one edge per node; then each
-    centre is the least node, as edges lead to smaller ones. The driver sees only whether they are.
+    Loops and repeated edges do not matter, edges with a null end are left out. ``edges`` should be
+    a stored table, as the first round reads it several times; each round writes its own edges to
+    the shared folder. They are done when all are stars, one edge per node; then each centre is the
+    least node, as edges lead to smaller ones. The driver sees only whether they are.
     """
-    edges = stored(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-        .distinct(),
-        "edges",
+    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
+        F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))
     )
-    while not all_stars(edges):
-        up = linked_to_least(edges, True).where("u <> v").distinct()
+    done = False
+    while not done:
+        up = linked_to_least(edges, True).where("u <> v")
         edges = stored(linked_to_least(up, False).where("u <> v").distinct(), "edges")
+        done = all_stars(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class_id")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("class_id")).distinct()
     )

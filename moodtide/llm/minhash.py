@@ -32,6 +32,7 @@ SKETCH = "struct<k1:long,k2:long,n_words:long,bands:array<long>>"
 SKETCH_TYPE = pa.struct(
     [("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64()))]
 )
+SET_TYPE = pa.struct([("cells", pa.binary()), ("bits", pa.list_(pa.int64()))])
 
 
 def cells_of(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,22 +107,6 @@ def lists(numbers: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers.reshape(-1)))
 
 
-def fine_bits(cells: Column) -> Column:
-    """Kept bits of the fine signatures of cell sets."""
-
-    @F.arrow_udf("array<long>")
-    def fine(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
-            found = [pa.array([], pa.list_(pa.int64()))]
-            for begin in range(0, len(part), FINE_AT_ONCE):
-                sets = [np.frombuffer(x.as_buffer(), U) for x in part.slice(begin, FINE_AT_ONCE)]
-                owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                found.append(lists(low_bits(throw_darts(np.concatenate(sets), owner, len(sets), FINE))))
-            yield pa.concat_arrays(found)
-
-    return fine(cells)
-
-
 def near_enough(a: str, b: str, least: float, deviations: float = 3.7) -> Column:
     """Whether the kept bits in columns a0, a1, ... and b0, b1, ... differ in few enough coordinates.
 
@@ -170,18 +155,25 @@ def sketch(text: Column, size: int = WORDS, bands: int = BANDS, rows: int = ROWS
 
 
 def cell_sets(text: Column, size: int = WORDS) -> Column:
-    """The sorted cells of a text as bytes."""
+    """The sorted cells of a text as bytes, and the kept bits of its fine signature."""
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<cells:binary,bits:array<long>>")
     def sets(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            out = []
+            found = [pa.array([], SET_TYPE)]
             for begin, end in slices(part):
-                cells, owner = cells_of(*words_of(part.slice(begin, end - begin)), size)
-                order = np.lexsort((cells, owner))
-                cells, ends = cells[order], np.cumsum(np.bincount(owner, minlength=end - begin))
-                out += [x.tobytes() for x in np.split(cells, ends[:-1])]
-            yield pa.array(out, pa.binary())
+                for at in range(begin, end, FINE_AT_ONCE):
+                    n = min(FINE_AT_ONCE, end - at)
+                    cells, owner = cells_of(*words_of(part.slice(at, n)), size)
+                    order = np.lexsort((cells, owner))
+                    cells, owner = cells[order], owner[order]
+                    ends = np.cumsum(np.bincount(owner, minlength=n))
+                    columns = [
+                        pa.array([x.tobytes() for x in np.split(cells, ends[:-1])], pa.binary()),
+                        lists(low_bits(throw_darts(cells, owner, n, FINE))),
+                    ]
+                    found.append(pa.StructArray.from_arrays(columns, fields=list(SET_TYPE)))
+            yield pa.concat_arrays(found)
 
     return sets(text)
 
@@ -222,12 +214,11 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def sets_of(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """node and cells of every text in a pair (a, b); texts: node, text."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    found = maybe_in(texts, wanted, "node").join(wanted, "node", "left_semi")
-    return stored(
-        found.select("node", cell_sets(F.col("text"), size).alias("cells")).dropDuplicates(["node"]), "cells"
-    )
+    """node, cells and bits of every text in a pair (a, b); texts: node, text."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # no left_semi: the optimizer would move it below the bitmap, and all texts would be shuffled
+    found = maybe_in(texts, wanted, "node").join(wanted, "node").dropDuplicates(["node"])
+    return stored(found.select("node", cell_sets(F.col("text"), size).alias("s")).select("node", "s.*"), "cells")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -291,23 +282,21 @@ def near_duplicates(
     in_class = members.where("n > 2").join(classes, "node", "left").select(
         "key", "node", F.coalesce("class_id", "node").alias("class_id")
     )
-    several = in_class.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x <> y")
-    mixed = in_class.join(several.select("key"), "key", "left_semi")
-    wanted = mixed.select("node").distinct()
-    fine = sets.join(wanted, "node", "left_semi").select("node", fine_bits(F.col("cells")).alias("bits"))
-    mixed = stored(mixed.join(fine, "node"), "mixed")
+    several = in_class.groupBy("key").agg(F.min("class_id").alias("home"), F.max("class_id").alias("last"))
+    mixed = in_class.join(several.where("home <> last").select("key", "home"), "key")
+    mixed = stored(mixed.join(sets.select("node", "bits"), "node"), "mixed")
 
-    def side(name: str) -> DataFrame:
+    def side(rows: DataFrame, name: str) -> DataFrame:
         # not nullable, which keeps the generated condition short
         bits = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(f"bits_{name}{i}") for i in range(FINE_NUMBERS)]
-        return mixed.select("key", F.col("node").alias(name), F.col("class_id").alias(f"class_{name}"), *bits)
+        return rows.select("key", F.col("node").alias(name), F.col("class_id").alias(f"class_{name}"), *bits)
 
-    left, right = side("a"), side("b")
+    # of two classes the later one stands on the left, so the key's first class is never needed there
     across = (
-        left.join(right, "key")
-        .where((F.col("class_a") != F.col("class_b")) & (F.col("a") < F.col("b")))
+        side(mixed.where("class_id <> home"), "a").join(side(mixed, "b"), "key")
+        .where("class_a > class_b")
         .where(near_enough("bits_a", "bits_b", least))
-        .select("a", "b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
