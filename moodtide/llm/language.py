@@ -192,13 +192,14 @@ def fit(
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     chosen = rows.where((F.pmod("draw", F.lit(1 << 40)) / F.lit(float(1 << 40))) < share)
     sample = chosen.mapInArrow(sample_features, "lang string, draw long, at binary, n binary").toArrow()
-    sample = sample.sort_by([("draw", "ascending"), ("lang", "ascending"), ("at", "ascending")]).combine_chunks()
-    y = np.array([labels.index(lang) for lang in sample["lang"].to_pylist()], int)
+    rank = pc.sort_indices(sample, [("draw", "ascending"), ("lang", "ascending"), ("at", "ascending")]).to_numpy()
+    y = np.array([labels.index(lang) for lang in sample["lang"].to_pylist()], int)[rank]
 
     def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
         """Features of a sampled text and their values, made when asked for: they need far more room."""
-        at = np.frombuffer(sample["at"][i].as_buffer(), np.uint16).astype(np.int64)
-        n = np.frombuffer(sample["n"][i].as_buffer(), np.int32)
+        row = int(rank[i])
+        at = np.frombuffer(sample["at"][row].as_buffer(), np.uint16).astype(np.int64)
+        n = np.frombuffer(sample["n"][row].as_buffer(), np.int32)
         return np.append(at, DIMS), np.append(SCALE * n / max(1, n.sum()) * idf[at], 1.0)
 
     held = max(1, int(len(y) * CALIBRATION_SHARE)) if len(y) >= 10 else 0
@@ -210,6 +211,8 @@ def fit(
     weights = learner.weights(np.arange(DIMS + 1))
     logits = np.array([x @ weights[at] for at, x in map(vector, range(held))]).reshape(held, len(labels))
     t = temperature(logits, y[:held])
+    del sample, vector
+    pa.default_memory_pool().release_unused()  # the driver goes on with other stages
     return Model(labels, SCALE * idf[:, None] * weights[:DIMS] / t, weights[DIMS] / t)
 
 
