@@ -9,38 +9,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from moodtide.llm.decontaminate import without_leaks
-from moodtide.llm.exact_dedup import dedup_exact
-from moodtide.llm.frames import stored, table
+from moodtide.llm.exact_dedup import dedup_exact, own_key
+from moodtide.llm.frames import stored, table, text_key, text_of
 from moodtide.llm.language import in_known_language
 from moodtide.llm.minhash import near_duplicates
 from moodtide.llm.queries import packed
 
 
-def rows_kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is kept, one of each id; columns as they are.
-
-    Rows that share an id are one document, and which of them stays is open where they differ.
-    Rows without an id are kept if ``decided`` keeps one.
-    """
-    kept = decided.where("kept").select(F.col("doc_id").alias("kept_doc_id"))
-    mine = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_doc_id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return mine.withColumn("nth_of_its_id", nth).where("nth_of_its_id = 1").select(*docs.columns)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, and those without any likely language."""
     return in_known_language(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the most code points and then the smallest id stays."""
-    return rows_kept(docs, dedup_exact(docs))
+    """Of equal texts, the one with the most code points and then the smallest id stays, null last.
+
+    A row is decided by its own id, digest and length, so different texts under one id, or without
+    an id, all stay. Of rows that share all three the first by the hashes of its text stays.
+    """
+    decided = dedup_exact(docs)
+    kept = decided.where("kept").select(F.struct("doc_id", "chars", "digest").alias("row_key")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.struct(*own_key()).alias("row_key"), *text_key(text_of("text")))
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("k1", "k2"))
+    mine = rows.join(kept, "row_key", "left_semi").withColumn("nth", nth)
+    return mine.where("nth = 1").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, the document with the smallest id stays."""
-    return rows_kept(docs, near_duplicates(docs))
+    """Of each class of near-duplicates, the document with the smallest id stays, null last.
+
+    Every row is a document: rows are numbered in the order of their ids, and classes are made of
+    the numbers. So texts that share an id, or have none, are each compared and decided by themselves.
+    """
+    keyed = docs.select(F.struct("*").alias("row"), *text_key(text_of("text")))
+    in_order = keyed.orderBy(F.col("row.doc_id").asc_nulls_last(), "k1", "k2")
+    rows = stored(in_order.select("row", F.monotonically_increasing_id().alias("number")), "numbered")
+    found = near_duplicates(rows.select("number", "row.text"), id_col="number")
+    kept = found.where("kept").select(F.col("doc_id").alias("number"))
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,14 +27,19 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, chars (code points of the text as it is) and the SHA-256 of the normalised text."""
+def own_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """What a row is decided by: its id, its length and its digest."""
     text = text_of(text_col)
-    return docs.select(
+    return [
         F.col(id_col).cast("long").alias("doc_id"),
         F.char_length(text).cast("long").alias("chars"),
         F.unhex(F.sha2(normalised(text), 256)).alias("digest"),
-    )
+    ]
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, chars (code points of the text as it is) and the SHA-256 of the normalised text."""
+    return docs.select(*own_key(id_col, text_col))
 
 
 def winners(rows: DataFrame) -> DataFrame:
@@ -153,7 +158,7 @@ def dedup_exact(
     text_col: str = "text",
     per_bucket: int = PER_BUCKET,
 ) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, digest, member.
+    """One row per document: doc_id, keep_id, group_size, kept, digest, member, chars.
 
     Texts are equal when they are identical without white space; a null text counts as empty. The
     distinct digests of ``history`` (a table like ``docs``, or the documents themselves if none is
@@ -185,5 +190,5 @@ def dedup_exact(
     )
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
     return rows.join(decided, "digest").select(
-        "doc_id", "keep_id", "group_size", stays.alias("kept"), "digest", "member"
+        "doc_id", "keep_id", "group_size", stays.alias("kept"), "digest", "member", "chars"
     )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from test_llm_operators import awkward, plain_classes, plain_tiles, WORD
+from test_llm_operators import awkward, plain_classes, plain_tiles, DOCS, WORD
 from moodtide.llm import language, tokens
 
 SMALL = "/root/testdata/sf0.001"
@@ -54,3 +54,20 @@ def test_repeated_rows_leave_one(spark):
     rows = awkward(spark)
     out = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, rows, SMALL)
     assert sorted(r["doc_id"] or 0 for r in out.collect()).count(4) == 1
+
+
+def test_texts_without_an_id_or_with_a_shared_one_stay(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [
+        (None, "first text of its own"), (None, "second text, quite different"), (None, "third one has no like"),
+        (None, "first  text of its own"), (5, "one text under five"), (5, "another text under five"),
+        (6, long), (None, long.upper()), (None, "one text under five"), (8, f"begin {long}"), (8, "what eight says too"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", "x", "y", 1) for i, t in rows], DOCS)
+    exact = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, SMALL)
+    want = [*rows[1:8], *rows[9:]]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in exact.collect()) == sorted((str(i), t) for i, t in want)
+    near = dict(corpus_pipeline.STAGES)["near_dedup"](spark, exact, SMALL)
+    assert near.columns == docs.columns
+    want = [*rows[1:7], rows[10]]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in near.collect()) == sorted((str(i), t) for i, t in want)
