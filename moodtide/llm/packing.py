@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -21,22 +22,48 @@ def sequence_cost(capacity: int, attention: float = 16384.0) -> float:
     return capacity * (1 + capacity / attention)
 
 
-def pack(lengths: Sequence[int], capacities: Sequence[int], costs: Sequence[float]) -> tuple[list[int], list[int], list[int]]:
-    """The bin and the place of each length (in decreasing order), and the final size of each bin.
+class Remaining:
+    """The lengths still to be packed, largest first within reach."""
 
-    A length goes into the bin with the least room that is enough. If none is, a bin is opened of
-    the size with the least cost per token it can still come to hold: its capacity, or all that is
-    left to pack if that is less; the smaller one if equal. In the end each bin becomes the
-    smallest permitted size that holds its contents.
-    """
+    def __init__(self, lengths: Sequence[int]) -> None:
+        self.counts = Counter(lengths)
+        self.present = sum(1 << n for n in self.counts)  # bit n is set where a length n is left
+
+    def take(self, length: int) -> None:
+        self.counts[length] -= 1
+        if not self.counts[length]:
+            self.present ^= 1 << length
+
+    def filling(self, room: int) -> int:
+        """Tokens that come into ``room`` when the largest length that still fits goes first."""
+        free, fitting = room, self.present
+        while fitting := fitting & ((1 << (free + 1)) - 1):
+            n = fitting.bit_length() - 1
+            free -= n * min(self.counts[n], free // n)
+            fitting ^= 1 << n
+        return room - free
+
+
+def pack_once(
+    lengths: Sequence[int], capacities: Sequence[int], costs: Sequence[float], by_filling: bool
+) -> tuple[list[int], list[int], list[int]]:
+    """``pack`` with one way to rate the size of a new bin: by its expected filling, or as if full."""
     largest = capacities[-1]
     by_room: list[list[int]] = [[] for _ in range(largest + 1)]
     rooms = 0  # bit r is set where a bin with r tokens of room exists
-    left = sum(lengths)
+    remaining, left = Remaining(lengths), sum(lengths)
     used: list[int] = []
     room: list[int] = []
     bins, places = [], []
+
+    def per_token(i: int, length: int) -> float:
+        if not by_filling:
+            return costs[i] / min(capacities[i], left)
+        filled = length + remaining.filling(capacities[i] - length)
+        return costs[bisect_left(capacities, filled)] / filled
+
     for length in lengths:
+        remaining.take(length)
         fitting = rooms >> length
         if fitting:
             r = length + (fitting & -fitting).bit_length() - 1
@@ -45,7 +72,7 @@ def pack(lengths: Sequence[int], capacities: Sequence[int], costs: Sequence[floa
                 rooms ^= 1 << r
         else:
             able = range(bisect_left(capacities, length), len(capacities))
-            size = min(able, key=lambda i: (costs[i] / min(capacities[i], left), i))
+            size = min(able, key=lambda i: (per_token(i, length), i))
             b = len(used)
             used.append(0)
             room.append(capacities[size])
@@ -60,6 +87,21 @@ def pack(lengths: Sequence[int], capacities: Sequence[int], costs: Sequence[floa
     return bins, places, [capacities[bisect_left(capacities, n)] for n in used]
 
 
+def pack(lengths: Sequence[int], capacities: Sequence[int], costs: Sequence[float]) -> tuple[list[int], list[int], list[int]]:
+    """The bin and the place of each length (in decreasing order), and the final size of each bin.
+
+    A length goes into the bin with the least room that is enough. If none is, a bin is opened of
+    the size with the least cost per token it is expected to hold: what the remaining lengths bring
+    into it, the largest that fits first; the smaller one if equal. In the end each bin becomes the
+    smallest permitted size that holds its contents. Other open bins may get some of the expected
+    lengths first, so all is packed a second time with sizes rated as if full, and the cheaper
+    packing is taken, the first if equal.
+    """
+    ways = [pack_once(lengths, capacities, costs, by_filling) for by_filling in (True, False)]
+    of_size = dict(zip(capacities, costs))
+    return min(ways, key=lambda way: sum(of_size[c] for c in way[2]))
+
+
 def packer(capacities: Sequence[int], costs: Sequence[float]) -> Callable:
     def pack_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "begin"], ascending=[False, True, True], kind="stable")

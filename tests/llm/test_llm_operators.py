@@ -516,3 +516,29 @@ def test_best_fit_over_documents(spark):
             end += length
         assert end <= capacity
     assert packing.best_fit(spark.createDataFrame([], "doc_id long, n_tokens int")).count() == 0
+
+
+def test_larger_bins_open_and_shrink_at_the_production_cost():
+    capacities = list(packing.CAPACITIES)
+    costs = [packing.sequence_cost(c) for c in capacities]
+
+    def total(sizes):
+        return sum(packing.sequence_cost(c) for c in sizes)
+
+    same = [300] * 5000
+    sizes = packing.pack(same, capacities, costs)[2]
+    assert Counter(sizes).most_common(1)[0][0] == 1024
+    assert total(sizes) < 0.7 * 5000 * packing.sequence_cost(512)
+    # 2048 is opened for 841, expecting 758 and 391, which fuller bins get; so it becomes 1024
+    lengths = [1470, 1281, 868, 841, 758, 391]
+    assert packing.pack_once(lengths, capacities, costs, True)[2] == [2048, 2048, 1024, 1024]
+    draw = random.Random(11)
+    for _ in range(200):
+        lengths = sorted((draw.randint(1, 2000) for _ in range(draw.randint(1, 40))), reverse=True)
+        bins, places, sizes = packing.pack(lengths, capacities, costs)
+        used = Counter()
+        for n, b, at in zip(lengths, bins, places):
+            assert at == used[b]
+            used[b] += n
+        assert all(used[b] <= size for b, size in enumerate(sizes))
+        assert total(sizes) <= total(packing.pack_once(lengths, capacities, costs, False)[2])
