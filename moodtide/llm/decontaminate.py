@@ -81,6 +81,13 @@ class Items:
         self.place = (places - offsets[owner])[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.seeds >> U(64 - FILTER_BITS)).astype(np.int64)] = True
+        self.short: list[tuple[int, np.ndarray, np.ndarray]] = []  # words, sorted seeds, item of each
+        for n in range(1, size):
+            of_size = np.flatnonzero(self.lengths == n)
+            if len(of_size):
+                whole = windows(words, n)[offsets[of_size]]
+                order = np.argsort(whole, kind="stable")
+                self.short.append((n, whole[order], of_size[order]))
 
     def hits(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
         """(text, item, pairs of places) for every text that shares a seed with an item."""
@@ -98,10 +105,27 @@ class Items:
         for (t, item), places in sorted(pairs.items()):
             yield t, item, places
 
+    def short_hits(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) for every item of fewer words than a seed that a text holds as a whole."""
+        found: set[tuple[int, int]] = set()
+        for n, seeds, item in self.short:
+            hashes = windows(words, n)
+            at = np.flatnonzero(within(offsets, n)[: len(hashes)] & np.isin(hashes, seeds))
+            low, high = np.searchsorted(seeds, hashes[at], "left"), np.searchsorted(seeds, hashes[at], "right")
+            for t, i, j in zip(np.searchsorted(offsets, at, "right") - 1, low, high):
+                found.update((int(t), int(item[s])) for s in range(i, j))
+        yield from sorted(found)
+
     def find(self, texts: pa.Array, coverage: float) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(texts))]
         for begin, end in slices(texts):
-            for t, item, pairs in self.hits(*words_of(texts.slice(begin, end - begin))):
+            words_in = words_of(texts.slice(begin, end - begin))
+            for t, item in self.short_hits(*words_in):
+                words = int(self.lengths[item])
+                out[begin + t].append(
+                    {"item_id": self.ids[item], "covered": words, "n_words": words, "tiles": 1, "coverage": 1.0}
+                )
+            for t, item, pairs in self.hits(*words_in):
                 tiles = tile(pairs, self.size)
                 covered, words = sum(n for _, _, n in tiles), int(self.lengths[item])
                 if covered >= coverage * words:
@@ -119,7 +143,8 @@ def blocks(benchmark: DataFrame, block_words: int, id_col: str, text_col: str) -
     for row in known.where("i IS NOT NULL AND t IS NOT NULL").distinct().toLocalIterator():
         ids.append(row["i"])
         texts.append(row["t"])
-        held += row["t"].count(" ") + 1
+        # beyond ASCII a character may be a word
+        held += row["t"].count(" ") + 1 + len(row["t"].encode()) - len(row["t"])
         if held >= block_words:
             yield ids, texts
             ids, texts, held = [], [], 0
@@ -152,7 +177,8 @@ def leaks(
 
     An item is covered when the greedy tiles of at least ``size`` words, which may come in any order
     in the text, hold at least the share ``coverage`` of its words. Words are as in ``words.py``.
-    Items of fewer than ``size`` words cannot be found; a null or empty text covers none.
+    An item of fewer than ``size`` words is covered by a text that has all of them in a row; an item
+    without words, and a null or empty text, have no match.
 
     The benchmark is a test set: it goes to the tasks in blocks of ``block_words`` words, each a
     broadcast of some 40 bytes a word, and every text meets every block. Nothing is shuffled.

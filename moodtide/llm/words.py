@@ -1,12 +1,14 @@
 """Words and runs of words as hashes, for whole Arrow batches at once.
 
 A word is a longest run of ASCII letters, ASCII digits and characters beyond ASCII, in lower case.
-Hashes have 64 bits. Everything works on flat arrays: the words of all texts of a batch in a row,
+Beyond ASCII, punctuation, spaces and controls part words as signs do in ASCII, and each character
+of a script written without spaces (SCRIPTS_WITHOUT_SPACES) is a word by itself. Hashes have 64 bits. Everything works on flat arrays: the words of all texts of a batch in a row,
 with the place where each text begins.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,43 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
+PARTING, IN_WORD, OWN_WORD = 0, 1, 2
+#: Thai, Lao, Myanmar, Khmer, kana, Han with its extensions; first and last code points.
+SCRIPTS_WITHOUT_SPACES = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+#: Zero width space and byte order mark: format characters that part words.
+PARTING_FORMATS = (0x200B, 0xFEFF)
+
+
+def kind_of(code: int) -> int:
+    category = unicodedata.category(chr(code))
+    if category[0] in "PZ" or category == "Cc" or code in PARTING_FORMATS:
+        return PARTING
+    return OWN_WORD if any(first <= code <= last for first, last in SCRIPTS_WITHOUT_SPACES) else IN_WORD
+
+
+def kinds_of(codes: np.ndarray) -> np.ndarray:
+    """The kind of each code point, looked up once for those that are met."""
+    met = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    met[codes] = True
+    kinds = np.zeros(len(met), np.uint8)
+    kinds[met] = [kind_of(int(code)) for code in np.flatnonzero(met)]
+    return kinds[codes]
+
+
+def beyond_ascii(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, number of bytes and kind of each character beyond ASCII of UTF-8 bytes."""
+    at = np.flatnonzero(data >= 0xC0)
+    lead = data[at].astype(np.int64)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    codes = lead & (0x7F >> size)
+    for j in range(1, 4):
+        more = size > j
+        codes[more] = codes[more] << 6 | (data[at[more] + j] & 0x3F)
+    return at, size, kinds_of(codes)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A well-spread permutation of 64-bit numbers."""
@@ -69,9 +108,14 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat_bytes(pc.utf8_lower(pc.fill_null(texts, "")))
     n = len(data)
     inside = IS_WORD[data]
+    at, size, kind = beyond_ascii(data)
+    for j in range(4):
+        inside[at[(kind == PARTING) & (size > j)] + j] = False
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
-    edges = offsets[(offsets > 0) & (offsets < n)]
+    alone = kind == OWN_WORD
+    edges = np.concatenate([offsets, at[alone], at[alone] + size[alone]])
+    edges = edges[(edges > 0) & (edges < n)]
     before[edges] = False
     after[edges - 1] = False
     starts = np.flatnonzero(inside & ~before)

@@ -542,3 +542,30 @@ def test_larger_bins_open_and_shrink_at_the_production_cost():
             used[b] += n
         assert all(used[b] <= size for b, size in enumerate(sizes))
         assert total(sizes) <= total(packing.pack_once(lengths, capacities, costs, False)[2])
+
+
+def test_words_beyond_ascii():
+    texts = ["“one”—two\u00a0three…", "文字、です。", "ไทย", "naïve café", "é、b\u200bc", "𠀀𠀁x", "한국어 글"]
+    _, offsets = words.words_of(pa.array(texts))
+    assert np.diff(offsets).tolist() == [3, 4, 3, 2, 3, 3, 2]
+    plain, _ = words.words_of(pa.array(["one two three"]))
+    assert words.words_of(pa.array(texts[:1]))[0].tolist() == plain.tolist()
+    both, _ = words.words_of(pa.array(["文字", "文", "字"]))
+    assert both[:2].tolist() == both[2:].tolist()
+
+
+def test_leaks_without_spaces_and_of_short_items(spark):
+    item = "".join(chr(0x4E00 + 7 * i) for i in range(200))
+    docs = docs_of(spark, [item, f"前{item[:150]}後", item[:50], "it ends with Three Short words", "three short", "three", "one"])
+    bench = spark.createDataFrame([(1, item), (2, "three short words"), (3, "one"), (4, "..."), (5, "three, short: words!")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in got) == [
+        (0, 1, 1.0), (1, 1, 0.75), (3, 2, 1.0), (3, 5, 1.0), (6, 3, 1.0)
+    ]
+
+
+def test_near_duplicates_without_spaces(spark):
+    text = "".join(chr(0x4E00 + 7 * i) for i in range(300))
+    texts = [text, text[:150] + "改" + text[151:], text[::-1]]
+    got = by_id(minhash.near_duplicates(docs_of(spark, texts)))
+    assert [got[i]["class_id"] for i in range(3)] == [0, 0, 2]
