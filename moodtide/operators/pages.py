@@ -28,8 +28,16 @@ from moodtide.functions.ids import is_valid_post_id, post_id_from_href
 from moodtide.functions.times import ntz, parse_post_time
 
 PAGES_AT_ONCE = 64
-#: A link with a quoted target, and what stands inside it.
-ANCHOR = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+#: What holds no links though it may look so.
+NOT_SHOWN = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)"
+_VALUE = r"""(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))"""
+_OTHER = r"""[\s/]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+"""
+#: A link: target in double quotes, single quotes or none, then what stands inside, to the next <a or </a.
+#: Attributes are read name by name; the bound (of names, spaces and values) keeps the Java stack small.
+ANCHOR = (
+    rf"(?is)<a(?=[\s/])(?:(?!href\s*=)[^\s>=/]++|{_OTHER}){{0,1000}}+href\s*=\s*{_VALUE}"
+    rf"(?:[^\s>=/]++|{_OTHER}){{0,1000}}+>(.*?)(?=<a[\s/>]|</a[\s>]|\z)"
+)
 POST_LINK_SCHEMA = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
@@ -74,14 +82,16 @@ def page_range(pages: DataFrame, first: int, last: int, column: str = "page_id")
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, text) of all hyperlinks, the first of each target per page.
 
-    Targets and texts stand as the page has them: character references are not resolved.
+    Comments and scripts hold none. Targets may be in quotes of both kinds or without, and a link
+    that is not closed ends where the next begins. Targets and texts stand as the page has them:
+    character references are not resolved. Tags of several hundred attributes are passed over.
     """
-    anchors = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
+    anchors = F.regexp_extract_all(F.regexp_replace("html", NOT_SHOWN, ""), F.lit(ANCHOR), F.lit(0))
     found = pages.select("page_id", F.posexplode(anchors).alias("pos", "link")).select(
         "page_id",
         "pos",
-        F.regexp_extract("link", ANCHOR, 1).alias("href"),
-        F.trim(F.regexp_replace(F.regexp_extract("link", ANCHOR, 2), "<[^>]*>", "")).alias("text"),
+        F.concat(*[F.regexp_extract("link", ANCHOR, i) for i in (1, 2, 3)]).alias("href"),
+        F.trim(F.regexp_replace(F.regexp_extract("link", ANCHOR, 4), "<[^>]*>", "")).alias("text"),
     )
     seen = W.partitionBy("page_id", "href").orderBy("pos")
     return found.withColumn("_n", F.row_number().over(seen)).where(F.col("_n") == 1).drop("_n")

@@ -109,6 +109,26 @@ def test_links_of_a_page(spark):
     assert [tuple(r) for r in pages.page_links(df).orderBy("pos").collect()] == [(0, 0, "/x", "one"), (0, 1, "/y", "two")]
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<a href='/x'>one</a>", [("/x", "one")]),
+        ("<a href=/x/y>one</a>", [("/x/y", "one")]),
+        ('<A class=b\nHREF = "/x" id=c>one</A >', [("/x", "one")]),
+        ('<a title="a > b" href="/x">one</a>', [("/x", "one")]),
+        ("<a title=it's href='/x'>one</a>", [("/x", "one")]),
+        ('<a href="/x">one <a href="/y"><b>two</b>', [("/x", "one"), ("/y", "two")]),
+        ('<a data-href="/x">no</a><a title=" href=\'/no\'" href="/y">two</a>', [("/y", "two")]),
+        ('<!-- <a href="/x">no</a> --><script>s = \'<a href="/z">no</a>\'</script><a href="/y">two</a>', [("/y", "two")]),
+        ('<abbr href="/x">no</abbr><a href>no</a><a name="n">no</a>', []),
+        ("<a " + "word " * 50_000, []),
+    ],
+)
+def test_forms_of_links(spark, html, want):
+    found = pages.page_links(spark.createDataFrame([(0, "u", html)], PAGES)).orderBy("pos").collect()
+    assert [(r["href"], r["text"]) for r in found] == want
+
+
 def test_list_pages_keep_every_event(spark):
     events = views.table(spark, "/root/testdata/sf0.001", "events")
     assert views.list_pages_from(events).count() == -(-events.count() // views.POSTS_PER_PAGE)
