@@ -91,12 +91,15 @@ def hourly_stream(posts: DataFrame, delay: str = "1 hour") -> DataFrame:
 def dedup_stream(
     posts: DataFrame, key: str = "source_post_id", delay: str = "15 days"
 ) -> DataFrame:
-    """Each post once, as long as its repeats come within ``delay``; state ends with it."""
+    """Each post once, as long as its repeats land within ``delay``; state ends with it.
+
+    The watermark is on the time of the micro-batch, so posts of any age are let in.
+    """
     return (
-        zoned(posts)
-        .withWatermark("post_time", delay)
+        posts.withColumn("_landed", F.current_timestamp())
+        .withWatermark("_landed", delay)
         .dropDuplicatesWithinWatermark([key])
-        .withColumn("post_time", F.col("post_time").cast("timestamp_ntz"))
+        .drop("_landed")
     )
 
 

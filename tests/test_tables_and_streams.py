@@ -227,6 +227,17 @@ def test_dedup_stream_across_batches(spark):
     assert [r[1] for r in by(spark.read.parquet(out), "source_post_id")] == ["a", "b", "c"]
 
 
+def test_dedup_stream_keeps_backfilled_posts(spark):
+    days = [dt.timedelta(days=n) for n in (0, 60, 61, -90, 0, 200)]
+    data = [(i, key, T0 + at) for i, (key, at) in enumerate(zip("abcdae", days))]
+    df = spark.createDataFrame(data, "id long, source_post_id string, post_time timestamp_ntz")
+    out = fresh_dir(spark, "dedup")
+    stream = jobs.dedup_stream(stream_in_order(spark, df, "id", 6)())
+    assert stream.schema == df.schema
+    jobs.run_to_files(stream, out)
+    assert [tuple(r) for r in by(spark.read.parquet(out), "id")] == [data[i] for i in (0, 1, 2, 3, 5)]
+
+
 def test_profile_stream_in_batches_and_replayed(spark, tables):
     posts = views.posts(spark, EVENTS)
     jobs.profile_stream(stream_of(spark, posts, "id", 3)(), tables, fresh_dir(spark, "cp"))
