@@ -168,19 +168,20 @@ def fit(
     """A model from rows of text and lang (both not null); none without such rows.
 
     IDF counts every n-gram of every whole text given: tasks send one row per feature. Weights are
-    learned from about ``per_language`` whole texts per language, chosen by a hash of the text; the
-    share CALIBRATION_SHARE of them sets the temperature instead. The sample is all that reaches
-    the driver: at most 6 bytes for each different feature of a text.
+    learned from about ``per_language`` different whole texts per language, chosen by a hash of the
+    text, of whose copies one is taken; the share CALIBRATION_SHARE of them sets the temperature
+    instead. The sample is all that reaches the driver: at most 6 bytes for each different feature of a text.
     """
     spark = labelled.sparkSession
     rows = labelled.select("text", "lang", F.xxhash64(F.lit(seed), "text").alias("draw"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("draw").alias("texts"))
+    totals = {r["lang"]: r for r in per_lang.limit(MAX_LANGUAGES + 1).collect()}
     if not totals:
         return None
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     labels = sorted(totals)
-    documents = sum(totals.values())
+    documents = sum(r["n"] for r in totals.values())
     df = np.zeros(DIMS, np.int64)
     per_task = rows.select("text").mapInArrow(document_frequencies, "feature int, df long")
     met = per_task.groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
@@ -188,9 +189,9 @@ def fit(
     idf = np.log((1 + documents) / (1 + df)) + 1
 
     share = F.lit(1.0)
-    for lang, n in totals.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    chosen = rows.where((F.pmod("draw", F.lit(1 << 40)) / F.lit(float(1 << 40))) < share)
+    for lang, r in totals.items():
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / r["texts"]))).otherwise(share)
+    chosen = rows.where((F.pmod("draw", F.lit(1 << 40)) / F.lit(float(1 << 40))) < share).dropDuplicates(["lang", "draw"])
     sample = chosen.mapInArrow(sample_features, "lang string, draw long, at binary, n binary").toArrow()
     rank = pc.sort_indices(sample, [("draw", "ascending"), ("lang", "ascending"), ("at", "ascending")]).to_numpy()
     y = np.array([labels.index(lang) for lang in sample["lang"].to_pylist()], int)[rank]

@@ -569,3 +569,13 @@ def test_near_duplicates_without_spaces(spark):
     texts = [text, text[:150] + "改" + text[151:], text[::-1]]
     got = by_id(minhash.near_duplicates(docs_of(spark, texts)))
     assert [got[i]["class_id"] for i in range(3)] == [0, 0, 2]
+
+
+def test_copies_do_not_enlarge_the_language_sample(spark, monkeypatch):
+    sampled = []
+    learn = language.Ftrl.learn
+    monkeypatch.setattr(language.Ftrl, "learn", lambda self, at, x, y: (sampled.append(y), learn(self, at, x, y)))
+    texts = [f"text number {i} of its own" for i in range(200)]
+    rows = [(t, "en") for t in texts for _ in range(20)]
+    language.fit(spark.createDataFrame(rows, "text string, lang string"), per_language=1000, epochs=1)
+    assert len(sampled) == 160  # each text once, less the fifth that sets the temperature
