@@ -6,6 +6,7 @@ from moodtide.llm.queries import URL_RULES
 from moodtide.llm.url_filter import LONG_SUFFIXES
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 LINES = f"""
@@ -116,10 +117,78 @@ SELECT urls.page_id, urls.host, urls.path, ruled.rule,
 FROM urls JOIN bounds USING (host) LEFT JOIN ruled ON urls.page_id = ruled.page_id AND ruled.place = 1
 """
 
+RANKED = f"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{TERM}') AS terms
+    FROM documents
+),
+totals AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms)) AS n_words FROM docs),
+tfs AS (
+    SELECT doc_id, len(terms) AS n, term, count(*) AS tf
+    FROM (SELECT doc_id, terms, unnest(terms) AS term FROM docs) GROUP BY ALL
+),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+wanted AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{TERM}')) AS term
+    FROM benchmark
+),
+items AS (SELECT item_id, term, count(*) AS times FROM wanted GROUP BY ALL),
+scores AS (
+    SELECT item_id, doc_id, CAST(sum(times
+        * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+        * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_words)))) AS BIGINT) AS score
+    FROM items JOIN dfs USING (term) JOIN tfs USING (term), totals GROUP BY ALL
+),
+places AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM places WHERE rank <= 20
+"""
+
+COLLOCATED = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM split GROUP BY lang),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM split),
+grams AS (
+    SELECT lang, size, array_to_string(words[i : i + size - 1], ' ') AS phrase
+    FROM places, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE i + size - 1 <= len(words)
+),
+counts AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS words, f AS a FROM counts WHERE size > 1),
+cuts AS (
+    SELECT lang, size, phrase, a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+),
+scores AS (
+    SELECT c.lang, c.size, c.phrase, c.a, k, l.f AS l, r.f AS r,
+        CAST((CAST(2000000 AS HUGEINT) * a) // (l.f + r.f) AS BIGINT) AS score
+    FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.head JOIN counts r ON r.lang = c.lang AND r.phrase = c.rest
+),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+spans AS (
+    SELECT lang, array_to_string(words[i : i + n - 1], ' ') AS phrase, max(a) AS held
+    FROM (SELECT *, unnest(range(1, size - n + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS n FROM candidates WHERE size > 2))
+    GROUP BY ALL
+),
+kept AS (
+    SELECT lowest.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM lowest LEFT JOIN spans USING (lang, phrase) WHERE held IS NULL OR 100 * held < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 ORACLE: dict[str, str] = {
     "op1_line_dedup": LINES,
     "op5_exact_dedup": COPIES,
     "op6_warc": ARCHIVED,
     "op8_url_filter": judged(),
+    "op11_lexical_search": RANKED,
+    "op13_collocations": COLLOCATED,
 }

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodtide.llm import decontaminate, exact_dedup, language, line_dedup, minhash, packing, sharding, tokens, url_filter, warc
+from moodtide.llm import (
+    collocations, decontaminate, exact_dedup, language, lexical, line_dedup, minhash, packing, page_text, sharding, tokens,
+    url_filter, warc,
+)
 from moodtide.llm.frames import table
 
 URL_RULES = (
@@ -77,10 +80,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, share=80, first=2000)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_decontaminate, op3_language, op4_near_dedup, op5_exact_dedup, op6_warc,
-        op7_shards, op8_url_filter, op9_token_counts, op10_best_fit_packing,
+        op7_shards, op8_url_filter, op9_token_counts, op10_best_fit_packing, op11_lexical_search, op12_page_text,
+        op13_collocations,
     )
 }

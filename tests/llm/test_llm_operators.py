@@ -17,37 +17,16 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import oracle_check
+from small_tables import BIG, awkward, docs_of
 from moodtide.llm import (
     components, decontaminate, exact_dedup, language, line_dedup, minhash, packing, queries, sharding, tokens,
     url_filter, warc, words,
 )
 
 SMALL = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, line string, kept string, node long"
 WORD = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
 
 
-def docs_of(spark, texts, langs=None):
-    """Texts as documents 0, 1, ..., with extra columns of clashing names."""
-    langs = langs or ["en"] * len(texts)
-    return spark.createDataFrame(
-        [(i, t, lang, "s", "x", "y", 1) for i, (t, lang) in enumerate(zip(texts, langs))], DOCS
-    )
-
-
-def awkward(spark):
-    """Nulls in every column, empty and long texts, ties and repeated rows."""
-    rows = [
-        (1, None, None, None, None, None, None), (None, "one two three four five six", None, None, None, None, None),
-        (2, "", "en", "s", "x", "y", 1), (3, "a\n" * 30_000, "en", "s", "x", "y", 1),
-        (4, "same words here in both rows\n\ntail", "en", "s", "x", "y", 1),
-        (4, "same words here in both rows\n\ntail", "en", "s", "x", "y", 1),
-        (5, " \t\n", "fr", "s", "x", "y", 1), (6, "Ünïcode ß 文字 été 👍🏽", "fr", "s", "x", "y", 1),
-        (7, "z" * 200_000, "de", "s", "x", "y", 1),
-    ]
-    return spark.createDataFrame(rows, DOCS)
-
-
 def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
