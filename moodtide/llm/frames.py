@@ -42,3 +42,37 @@ def text_key(text: Column, *names: str) -> list[Column]:
     """Two hashes of 64 bits each, which together stand for the text."""
     first, second = names or ("k1", "k2")
     return [F.xxhash64(F.lit(1), text).alias(first), F.xxhash64(F.lit(2), text).alias(second)]
+
+
+#: Bits of the bitmap (1 MB) that keeps rows out of a shuffle.
+MARK_BITS = 1 << 23
+
+
+def marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` and, without a shuffle of them, ``marked``: true where the key is in ``wanted``, and for some others.
+
+    The keys set hashed places of a bitmap of MARK_BITS bits, which is all that is broadcast.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(MARK_BITS))
+    marks = (
+        wanted.select(place.alias("place"))
+        .groupBy(F.bitmap_bucket_number("place").alias("mark_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks"))
+    )
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("marks", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    near = rows.withColumn("mark_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "mark_bucket", "left")
+    hit = F.coalesce(F.call_function("bit_get", byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return near.withColumn("marked", hit).drop("mark_bucket", "marks")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows, written, each as ``row`` with a ``number`` of its own."""
+    return stored(rows.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The numbered rows whose number is not in ``gone``; only marked rows are shuffled."""
+    flagged = marked(rows, gone, "number")
+    open_ = flagged.where("marked").join(gone.select("number"), "number", "left_anti")
+    return flagged.where("NOT marked").unionByName(open_.select(flagged.columns)).select("row.*")

@@ -1,4 +1,9 @@
-"""Near-duplicates by DartMinHash signatures, banded joins and an exact check of each link."""
+"""Near-duplicates by DartMinHash signatures, banded joins and an exact check of each link.
+
+The bands are joined in rounds, and classes found in one round give no more pairs in the next. What
+still shares a key across classes is compared in blocks, all of a block at once, by a product of
+matrices over the texts' cells.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodtide.llm.components import components
-from moodtide.llm.frames import stored
+from moodtide.llm.frames import marked, stored
 from moodtide.llm.words import FACTORS, MULTIPLIER, U, mix, sequence_keys, shingles_of, slices, words_of
 
 WORDS = 5
@@ -20,19 +25,16 @@ ROWS = 6
 EMPTY = np.iinfo(np.uint64).max
 #: Darts per coordinate beyond ln(coordinates): about one text in fifty has to throw again.
 SPARE = 4.0
-#: Coordinates of the fine signatures, which tell far pairs from near ones, and bits kept of each.
-FINE = 1024
-BITS = 2
-FINE_NUMBERS = FINE * BITS // 64
-FIRST_NUMBERS = 4
-#: Bits of the filter (1 MB) that keeps texts without a candidate out of a shuffle.
-FILTER_BITS = 1 << 23
-FINE_AT_ONCE = 64
+#: Bands joined in the first round; most of a large class comes together in it.
+FIRST_BANDS = 4
+#: Texts and words of one side of a block in which all are compared.
+BLOCK_TEXTS, BLOCK_WORDS = 512, 1 << 21
+TILE_CELLS = 4096
+CELLS_AT_ONCE = 64
 SKETCH = "struct<k1:long,k2:long,n_words:long,bands:array<long>>"
 SKETCH_TYPE = pa.struct(
     [("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64()))]
 )
-SET_TYPE = pa.struct([("cells", pa.binary()), ("bits", pa.list_(pa.int64()))])
 
 
 def cells_of(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,42 +96,12 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
         return mix(parts.sum(axis=2, dtype=U) + np.arange(bands, dtype=U) * U(MULTIPLIER)).view(np.int64)
 
 
-def low_bits(signature: np.ndarray) -> np.ndarray:
-    """The last BITS bits of FINE coordinates, packed into FINE_NUMBERS numbers."""
-    parts = (signature & U((1 << BITS) - 1)).reshape(len(signature), FINE_NUMBERS, -1)
-    shifts = np.arange(64 // BITS, dtype=U) * U(BITS)
-    return (parts << shifts).sum(axis=2, dtype=U).view(np.int64)
-
-
 def lists(numbers: np.ndarray) -> pa.Array:
     """The rows of a matrix as Arrow lists."""
     ends = np.arange(len(numbers) + 1) * numbers.shape[1]
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers.reshape(-1)))
 
 
-def near_enough(a: str, b: str, least: float, deviations: float = 3.7) -> Column:
-    """Whether the kept bits in columns a0, a1, ... and b0, b1, ... differ in few enough coordinates.
-
-    Coordinates of texts that are ``least`` similar differ with a known probability; pairs are let
-    go only at ``deviations`` standard deviations above that (one in ten thousand at ``least``).
-    """
-    differ = (1 - least) * (1 - 0.5**BITS)
-    lowest = sum(1 << i for i in range(0, 64, BITS))
-
-    def limit(numbers: int) -> float:
-        expected = numbers * 64 // BITS * differ
-        return expected + deviations * math.sqrt(expected * (1 - differ))
-
-    unequal = []
-    for i in range(FINE_NUMBERS):
-        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
-        for shift in (1 << j for j in range(BITS.bit_length() - 1)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        unequal.append(F.bit_count(x.bitwiseAND(F.lit(lowest))))
-    first = unequal[:FIRST_NUMBERS]  # most far pairs fail on these already
-    return (sum(first[1:], first[0]) <= limit(FIRST_NUMBERS)) & (sum(unequal[1:], unequal[0]) <= limit(FINE_NUMBERS))
-
-
 def sketch_batch(texts: pa.Array, size: int, bands: int, rows: int) -> pa.Array:
     found = [pa.array([], SKETCH_TYPE)]
     for begin, end in slices(texts):
@@ -155,25 +127,20 @@ def sketch(text: Column, size: int = WORDS, bands: int = BANDS, rows: int = ROWS
 
 
 def cell_sets(text: Column, size: int = WORDS) -> Column:
-    """The sorted cells of a text as bytes, and the kept bits of its fine signature."""
+    """The sorted cells of a text as bytes."""
 
-    @F.arrow_udf("struct<cells:binary,bits:array<long>>")
+    @F.arrow_udf("binary")
     def sets(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            found = [pa.array([], SET_TYPE)]
+            found: list[bytes] = []
             for begin, end in slices(part):
-                for at in range(begin, end, FINE_AT_ONCE):
-                    n = min(FINE_AT_ONCE, end - at)
+                for at in range(begin, end, CELLS_AT_ONCE):
+                    n = min(CELLS_AT_ONCE, end - at)
                     cells, owner = cells_of(*words_of(part.slice(at, n)), size)
                     order = np.lexsort((cells, owner))
-                    cells, owner = cells[order], owner[order]
                     ends = np.cumsum(np.bincount(owner, minlength=n))
-                    columns = [
-                        pa.array([x.tobytes() for x in np.split(cells, ends[:-1])], pa.binary()),
-                        lists(low_bits(throw_darts(cells, owner, n, FINE))),
-                    ]
-                    found.append(pa.StructArray.from_arrays(columns, fields=list(SET_TYPE)))
-            yield pa.concat_arrays(found)
+                    found += [x.tobytes() for x in np.split(cells[order], ends[:-1])]
+            yield pa.array(found, pa.binary())
 
     return sets(text)
 
@@ -196,29 +163,11 @@ def similarity(a: Column, b: Column) -> Column:
     return similar(a, b)
 
 
-def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is in ``wanted``, and some others, without a shuffle of ``rows``.
-
-    The keys mark hashed places of a bitmap of FILTER_BITS bits, which is all that is broadcast.
-    """
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    marks = (
-        wanted.select(place.alias("place"))
-        .groupBy(F.bitmap_bucket_number("place").alias("mark_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks"))
-    )
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("marks", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    near = rows.withColumn("mark_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "mark_bucket")
-    return near.where(F.call_function("bit_get", byte, (at % 8).cast("int")) == 1).drop("mark_bucket", "marks")
-
-
-def sets_of(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """node, cells and bits of every text in a pair (a, b); texts: node, text."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def sets_of(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """node and cells of every text in ``wanted`` (node); texts: node, text."""
     # no left_semi: the optimizer would move it below the bitmap, and all texts would be shuffled
-    found = maybe_in(texts, wanted, "node").join(wanted, "node").dropDuplicates(["node"])
-    return stored(found.select("node", cell_sets(F.col("text"), size).alias("s")).select("node", "s.*"), "cells")
+    found = marked(texts, wanted, "node").where("marked").join(wanted, "node").dropDuplicates(["node"])
+    return stored(found.select("node", cell_sets(F.col("text"), size).alias("cells")), "cells")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -226,12 +175,120 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return stored(
         pairs.join(sets.select(F.col("node").alias("a"), F.col("cells").alias("cells_a")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("cells").alias("cells_b")), "b")
-        .select("a", "b", similarity(F.col("cells_a"), F.col("cells_b")).alias("similarity"))
-        .where(F.col("similarity") >= least),
+        .where(similarity(F.col("cells_a"), F.col("cells_b")) >= least)
+        .select("a", "b"),
         "links",
     )
 
 
+def similarities(cells: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The similarity of each text of ``left`` to each of ``right``, which number the texts of ``cells``."""
+    sizes = np.array([len(c) for c in cells])
+    _, number, count = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(cells)), sizes)
+    several = count[number] > 1  # what one text alone has is common to no two
+    number, owner = (np.cumsum(count > 1) - 1)[number[several]], owner[several]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    common = np.zeros((len(left), len(right)))
+    for tile in range(0, int(number[-1]) + 1 if len(number) else 0, TILE_CELLS):
+        here = slice(*np.searchsorted(number, [tile, tile + TILE_CELLS]))
+        holds = np.zeros((len(cells), TILE_CELLS), np.float32)
+        holds[owner[here], number[here] - tile] = 1
+        common += holds[left] @ holds[right].T
+    return common / (sizes[left][:, None] + sizes[right][None, :] - common)
+
+
+def block_links(least: float):
+    """A function of one block (node, class_id, stray, inside, cells) that gives links between its classes."""
+
+    def compare(block: pa.Table) -> pa.Table:
+        _, at, text = np.unique(block["node"].to_numpy(), return_index=True, return_inverse=True)
+        node, classes = block["node"].to_numpy()[at], block["class_id"].to_numpy()[at]
+        cells = [np.frombuffer(block["cells"][int(i)].as_buffer(), U) for i in at]
+        left, right = (np.unique(text[block[c].to_numpy(zero_copy_only=False)]) for c in ("stray", "inside"))
+        links: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            near = similarities(cells, left, right) >= least
+            near &= classes[left][:, None] != classes[right][None, :]
+            above: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while c in above:
+                    c = above[c]
+                return c
+
+            for i, j in zip(*np.nonzero(near)):
+                a, b = top(int(classes[left[i]])), top(int(classes[right[j]]))
+                if a != b:  # one link joins two classes, more of them say nothing new
+                    above[max(a, b)] = min(a, b)
+                    links.append((int(node[left[i]]), int(node[right[j]])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return compare
+
+
+def with_class(members: DataFrame, classes: DataFrame | None) -> DataFrame:
+    if classes is None:
+        return members.withColumn("class_id", F.col("node"))
+    return members.join(classes, "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
+
+
+def centre_pairs(members: DataFrame) -> DataFrame:
+    """Each node of a key with the key's centre, where their classes differ: at most one pair a node and key.
+
+    The centre is of the class with the most nodes of the key, and drawn by a hash of key and node,
+    so a class has different ones under its keys.
+    """
+    drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))
+    of_class = members.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("n"), drawn.alias("c"))
+    most = F.max_by(F.struct(F.col("c.node").alias("centre"), F.col("class_id").alias("home")), F.struct("n", "c.h"))
+    centres = of_class.groupBy("key").agg(most.alias("c")).select("key", "c.centre", "c.home")
+    apart = members.join(centres, "key").where("class_id <> home")
+    return stored(apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
+
+
+def links_across(members: DataFrame, sets: DataFrame, least: float, block_texts: int, block_words: int) -> DataFrame:
+    """Links between classes that still share a key: members have key, node, words and class_id.
+
+    In each key the class with the most nodes is at home, and each node of another class, a stray, is
+    compared with all nodes of the key that are not of its class. Strays and nodes are dealt to
+    blocks by hash, and every block of strays meets every block of nodes; a block gives as many
+    links as join its classes, however many pairs of it are near.
+    """
+    of_class = members.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
+    of_key = of_class.groupBy("key").agg(
+        F.max(F.struct("n", "class_id")).alias("most"), F.max_by("words", F.struct("n", "class_id")).alias("home_words"),
+        F.sum("n").alias("n"), F.sum("words").alias("words"),
+    )
+
+    def blocks(n: Column, words: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / block_texts), F.ceil(words / block_words)).cast("long")
+
+    keys = of_key.where("most.n < n").select(
+        "key", F.col("most.class_id").alias("home"), blocks(F.col("n"), F.col("words")).alias("rights"),
+        blocks(F.col("n") - F.col("most.n"), F.col("words") - F.col("home_words")).alias("lefts"),
+    )
+    mixed = members.join(keys, "key").withColumn("h", F.abs(F.xxhash64("node", "key") % (1 << 30)))
+    strays = mixed.where("class_id <> home").select(
+        "key", "node", "class_id", (F.col("h") % F.col("lefts")).alias("i"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"), F.lit(True).alias("stray"), F.lit(False).alias("inside"),
+    )
+    inside = mixed.select(
+        "key", "node", "class_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"),
+        (F.col("h") % F.col("rights")).alias("j"), F.lit(False).alias("stray"), F.lit(True).alias("inside"),
+    )
+    dealt = strays.unionByName(inside).join(sets, "node")
+    return stored(dealt.groupBy("key", "i", "j").applyInArrow(block_links(least), "a long, b long"), "links")
+
+
+def joined(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The classes with those together that ``links`` join."""
+    if classes is None:
+        return components(links)
+    return components(classes.select(F.col("node").alias("a"), F.col("class_id").alias("b")).unionByName(links))
+
+
 def near_duplicates(
     docs: DataFrame,
     least: float = 0.8,
@@ -240,6 +297,8 @@ def near_duplicates(
     rows: int = ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    block_texts: int = BLOCK_TEXTS,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, n_links, kept.
 
@@ -251,11 +310,10 @@ def near_duplicates(
     an id have no class and are kept. Rows that share an id are one document. n_links counts the
     checked links of the document's words to other words.
 
-    Each node has a key per band. Within a key, every node is compared with the least and the
-    greatest node, which is two pairs per node and not all pairs. Nodes of a key that still
-    belong to different classes afterwards are then held against each other by bits of finer
-    signatures, inside the join, and only those that may be near come out of it and are compared;
-    so what has the same key is never passed over.
+    Each node has a key per band. In two rounds over the bands every node is compared with the
+    centre of each of its keys, unless they are of one class by then. Nodes that share a key but are
+    still of different classes are compared in blocks, exactly and all with all, so what has the same key is never
+    passed over; a large class has few of them, as most of it comes together in the first round.
     """
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = stored(
@@ -264,48 +322,25 @@ def near_duplicates(
     nodes = stored(
         sketches.where("n_words > 0 AND doc_id IS NOT NULL")
         .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_words").alias("words")),
         "nodes",
     )
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(
-        F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1")
+    keyed = nodes.select("node", "words", F.posexplode("bands").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(keyed.join(shared, "key"), "members")
-    texts = rows_in.select(F.col("doc_id").alias("node"), "text")
-    ends = members.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    first = stored(ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "pairs")
-    sets = sets_of(first, texts, size)
-    links = verified(first, sets, least)
-    classes = components(links)
-
-    in_class = members.where("n > 2").join(classes, "node", "left").select(
-        "key", "node", F.coalesce("class_id", "node").alias("class_id")
-    )
-    several = in_class.groupBy("key").agg(F.min("class_id").alias("home"), F.max("class_id").alias("last"))
-    mixed = in_class.join(several.where("home <> last").select("key", "home"), "key")
-    mixed = stored(mixed.join(sets.select("node", "bits"), "node"), "mixed")
-
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        # not nullable, which keeps the generated condition short
-        bits = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(f"bits_{name}{i}") for i in range(FINE_NUMBERS)]
-        return rows.select("key", F.col("node").alias(name), F.col("class_id").alias(f"class_{name}"), *bits)
-
-    # of two classes the later one stands on the left, so the key's first class is never needed there
-    across = (
-        side(mixed.where("class_id <> home"), "a").join(side(mixed, "b"), "key")
-        .where("class_a > class_b")
-        .where(near_enough("bits_a", "bits_b", least))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = stored(across, "pairs")
-    if not more.isEmpty():
-        new_links = verified(more, sets, least)
-        known = classes.select(F.col("node").alias("a"), F.col("class_id").alias("b"))
-        classes = components(known.unionByName(new_links.select("a", "b")))
-        links = links.unionByName(new_links)
+    sets = sets_of(members.select("node").distinct(), rows_in.select(F.col("doc_id").alias("node"), "text"), size)
+
+    classes, links = None, None
+    for first, last in ((0, FIRST_BANDS), (FIRST_BANDS, bands)):
+        here = with_class(members.where((F.col("band") >= first) & (F.col("band") < last)), classes)
+        found = verified(centre_pairs(here), sets, least)
+        classes = joined(classes, found)
+        links = found if links is None else links.unionByName(found)
+    # of two nodes alone under a key one was the centre
+    found = links_across(with_class(members.where("n > 2"), classes), sets, least, block_texts, block_words)
+    if not found.isEmpty():
+        classes = joined(classes, found)
+        links = links.unionByName(found.distinct())
 
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     node_class = stored(
