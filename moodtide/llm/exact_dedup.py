@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,47 +93,46 @@ def find_slots(digest_bytes: np.ndarray, sizes: list[int], marks: np.ndarray) ->
     return slots
 
 
-def as_rows(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, DIGEST_BYTES)
+def as_rows(digests: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, DIGEST_BYTES)
+
 
+def one_list(values: pa.ChunkedArray, order: np.ndarray) -> pa.Array:
+    """The values in this order, as one list; ids stay whole numbers also beside a null."""
+    values = values.combine_chunks().take(pa.array(order))
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-def build_bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+
+def build_bucket(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
     """One bucket of the index; rows: distinct digests with their winners."""
     known = as_rows(rows["digest"])
     sizes, marks = build_hash(known)
     order = np.argsort(find_slots(known, sizes, marks))
-    ids = [None if pd.isna(x) else int(x) for x in rows["win_id"].iloc[order]]
-    return pd.DataFrame(
+    return pa.table(
         {
-            "bucket": [key[0]], "sizes": [sizes], "marks": [np.packbits(marks).tobytes()],
-            "digests": [known[order].tobytes()], "ids": [ids],
-            "chars": [rows["win_chars"].iloc[order].to_numpy()], "counts": [rows["n"].iloc[order].to_numpy()],
+            "bucket": pa.array([key[0].as_py()], pa.int64()), "sizes": pa.array([sizes], pa.list_(pa.int32())),
+            "marks": pa.array([np.packbits(marks).tobytes()]), "digests": pa.array([known[order].tobytes()]),
+            "ids": one_list(rows["win_id"], order), "chars": one_list(rows["win_chars"], order),
+            "counts": one_list(rows["n"], order),
         }
     )
 
 
-def look_up(key: tuple, asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+def look_up(key: tuple[pa.Scalar], asked: pa.Table, index: pa.Table) -> pa.Table:
     """Distinct digests of one bucket against its index; a slot counts only if its bytes agree."""
-    out = pd.DataFrame({"digest": asked["digest"], "member": False, "old_id": None, "old_chars": 0, "old_n": 0})
-    if len(asked) and len(index):
-        slot = index.iloc[0]
-        sizes = [int(x) for x in slot["sizes"]]
-        marks = np.unpackbits(np.frombuffer(slot["marks"], np.uint8), count=sum(sizes)).astype(bool)
-        held = np.frombuffer(slot["digests"], np.uint8).reshape(-1, DIGEST_BYTES)
+    n = len(asked)
+    member, at = np.zeros(n, bool), np.zeros(n, np.int64)
+    old = [pa.nulls(n, pa.int64())] * 3
+    if n and len(index):
+        sizes = index["sizes"][0].as_py()
+        marks = np.unpackbits(np.frombuffer(index["marks"][0].as_py(), np.uint8), count=sum(sizes)).astype(bool)
+        held = np.frombuffer(index["digests"][0].as_py(), np.uint8).reshape(-1, DIGEST_BYTES)
         wanted = as_rows(asked["digest"])
         at = find_slots(wanted, sizes, marks)
         member = (at >= 0) & (held[np.maximum(at, 0)] == wanted).all(axis=1)
-        at = np.maximum(at, 0)
-        ids = pd.array([None if x is None or x != x else int(x) for x in slot["ids"]], dtype="Int64")
-        out = pd.DataFrame(
-            {
-                "digest": asked["digest"].to_numpy(), "member": member,
-                "old_id": pd.Series(ids[at]).where(member, None),
-                "old_chars": np.where(member, np.asarray(slot["chars"])[at], 0),
-                "old_n": np.where(member, np.asarray(slot["counts"])[at], 0),
-            }
-        )
-    return out
+        slot = pa.array(at, mask=~member)
+        old = [index[c].combine_chunks().flatten().take(slot) for c in ("ids", "chars", "counts")]
+    return pa.table([asked["digest"], pa.array(member), *old], ["digest", "member", "old_id", "old_chars", "old_n"])
 
 
 def bucket_of(buckets: int) -> Column:
@@ -147,7 +144,7 @@ def build_index(distinct: DataFrame, buckets: int) -> DataFrame:
     return (
         distinct.withColumn("bucket", bucket_of(buckets))
         .groupBy("bucket")
-        .applyInPandas(build_bucket, INDEX_SCHEMA)
+        .applyInArrow(build_bucket, INDEX_SCHEMA)
     )
 
 
@@ -178,7 +175,7 @@ def dedup_exact(
     buckets = groups_for(seen.count(), per_bucket)
     index = build_index(seen, buckets)
     asked = own.select("digest").withColumn("bucket", bucket_of(buckets))
-    found = asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(look_up, FOUND_SCHEMA)
+    found = asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(look_up, FOUND_SCHEMA)
     decided = (
         own.join(found, "digest")
         .select(
