@@ -6,7 +6,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from moodtide.llm.frames import groups_for, stored
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 PER_GROUP = 20_000
+#: Numbers of bins that a group has for itself; it cannot have more bins than pieces.
+GROUP_BINS = 1 << 24
+PACKED_NAMES = ["doc_id", "piece", "begin", "length", "bin", "capacity", "at"]
 PACKED_SCHEMA = "doc_id long, piece int, begin long, length int, bin long, capacity int, at int"
 
 
@@ -103,12 +108,13 @@ def pack(lengths: Sequence[int], capacities: Sequence[int], costs: Sequence[floa
 
 
 def packer(capacities: Sequence[int], costs: Sequence[float]) -> Callable:
-    def pack_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "begin"], ascending=[False, True, True], kind="stable")
-        bins, places, sizes = pack([int(n) for n in rows["length"]], capacities, costs)
-        return rows.assign(
-            bin=[(int(key[0]) << 24) + b for b in bins], capacity=[sizes[b] for b in bins], at=places
-        )[["doc_id", "piece", "begin", "length", "bin", "capacity", "at"]]
+    def pack_group(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("begin", "ascending"), ("number", "ascending")])
+        bins, places, sizes = pack(rows["length"].to_pylist(), capacities, costs)
+        columns = [rows[c] for c in ("doc_id", "piece", "begin", "length")]
+        columns.append(pc.add(pa.array(bins, pa.int64()), pa.scalar(key[0].as_py() * GROUP_BINS, pa.int64())))
+        columns += [pa.array(np.array(sizes, np.int32)[bins]), pa.array(places, pa.int32())]
+        return pa.table(columns, PACKED_NAMES)
 
     return pack_group
 
@@ -129,27 +135,32 @@ def best_fit(
     0) have one row with length 0 and no bin. Repeated rows are packed each for itself.
 
     Pieces are dealt by a hash to groups of about ``per_group``, each packed on its own: only the
-    last few bins of a group are less full than those of one long packing. Groups hold at most
-    2 ** 24 bins. Equal lengths go by id, so the result depends on the table alone.
+    last few bins of a group are less full than those of one long packing. The hash is of a number
+    of the row, not of its id, so rows that share an id, or have none, are dealt like all others.
+    Equal lengths go by id, null last, then by that number.
     """
+    if not 0 < per_group <= GROUP_BINS // 4:
+        raise ValueError(f"per_group is {per_group}; 1 to {GROUP_BINS // 4} are possible")
     sizes = sorted(set(capacities))
     largest = sizes[-1]
     costs = [cost(c) for c in sizes]
     rows = stored(
-        lengths.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n")),
+        lengths.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n")).withColumn(
+            "number", F.monotonically_increasing_id()
+        ),
         "lengths",
     )
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / largest).cast("int") - 1)
-    pieces = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
-        "doc_id", "piece", (F.col("piece").cast("long") * largest).alias("begin"), "n"
+    pieces = rows.select("doc_id", "number", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
+        "doc_id", "number", "piece", (F.col("piece").cast("long") * largest).alias("begin"), "n"
     ).withColumn("length", F.least(F.lit(largest), F.col("n") - F.col("begin")).cast("int"))
     total = rows.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / largest))), F.lit(0)).alias("n")).first()["n"]
     groups = groups_for(int(total), per_group)
     packed = (
         pieces.where("length > 0")
-        .withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+        .withColumn("pack_group", F.pmod(F.xxhash64("number", "piece"), F.lit(groups)))
         .groupBy("pack_group")
-        .applyInPandas(packer(sizes, costs), PACKED_SCHEMA)
+        .applyInArrow(packer(sizes, costs), PACKED_SCHEMA)
     )
     none = pieces.where("length = 0").select(
         "doc_id", "piece", "begin", "length", F.lit(None).cast("long").alias("bin"),
