@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from moodtide.llm.frames import text_of
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut before merging. Fixed value of the public tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space in long runs, which the matcher of the pattern cannot take back step by step.
+LONG_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 MAX_RANKS_BYTES = 64 << 20
 SECTIONS = "array<struct<section:int,begin:int,end:int,n_tokens:int,n_crossing:int>>"
 
@@ -39,6 +42,23 @@ class Tokenizer:
         return tiktoken.Encoding("shared", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """The tokens of a whole text.
+
+    By PATTERN a run of white space is one part up to its last character, which goes with what
+    follows, or the whole run where the text ends. Long runs are merged as that part by themselves,
+    so the tokens are those of the text encoded at once. Other patterns are left to the encoding.
+    """
+    out: list[int] = []
+    at = 0
+    for run in LONG_BLANKS.finditer(text) if encoding._pat_str == PATTERN else ():
+        end = run.end() - (run.end() < len(text))
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:] if at else text)
+
+
 def char_spans(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end in characters of tokens that have ``sizes`` bytes one after the other.
 
@@ -83,7 +103,7 @@ def section_tokens(text: Column, lengths: Column, tokenizer: Tokenizer, gap: int
             for text, lengths in zip(texts, sections):
                 text = text.as_py()
                 lengths = lengths.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = token_bytes[encoding.encode_ordinary(text)]
+                sizes = token_bytes[encode(encoding, text)]
                 starts, tokens, crossing = attribute(*char_spans(text, sizes), lengths, gap)
                 for column, values in zip(columns, (np.arange(len(lengths)), starts, starts + lengths, tokens, crossing)):
                     column.append(values.astype(np.int32))
@@ -102,7 +122,7 @@ def count_tokens(text: Column, tokenizer: Tokenizer) -> Column:
     def counted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding, _ = tokenizer.load()
         for texts in parts:
-            yield pa.array([len(encoding.encode_ordinary(t.as_py() or "")) for t in texts], pa.int32())
+            yield pa.array([len(encode(encoding, t.as_py() or "")) for t in texts], pa.int32())
 
     return counted(text)
 
