@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodtide.llm.words import U, slices, windows, within, words_of
+from moodtide.llm.words import BASE, INVERSE, U, powers, slices, windows, within, words_of
 
 SEED_WORDS = 5
 COVERAGE = 0.6
@@ -25,45 +25,90 @@ FOUND_TYPE = pa.list_(
 )
 
 
-def match_lengths(pairs: list[tuple[int, int]], size: int) -> dict[tuple[int, int], int]:
-    """Length of the match that begins at each pair of equal windows.
-
-    Windows follow each other along a diagonal as the hash is rolled on, so the match from (p, q)
-    is one longer than that from (p + 1, q + 1).
-    """
-    length: dict[tuple[int, int], int] = {}
-    for p, q in sorted(pairs, reverse=True):
-        length[p, q] = length.get((p + 1, q + 1), size - 1) + 1
-    return length
-
-
-def tile(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
+class Free:
+    """Words of a text, or of an item, that no tile has marked, and hashes of runs of them."""
+
+    def __init__(self, words: np.ndarray, places: np.ndarray) -> None:
+        self.places = places  # the words that can be part of a tile at all, in order
+        self.last = np.ones(len(places), bool)  # whether the next of them does not follow at once
+        self.last[:-1] = np.diff(places) != 1
+        self.marked = np.zeros(len(places), bool)
+        self.sums = np.zeros(len(places) + 1, U)
+        with np.errstate(over="ignore"):
+            np.cumsum(words[places] * powers(BASE, len(places)), out=self.sums[1:])
+        self.back = powers(INVERSE, len(places))
+        self.measure()
+
+    def measure(self) -> None:
+        """How many free words in a row there are from each word on."""
+        n = len(self.places)
+        ends = self.last | self.marked
+        ends[:-1] |= self.marked[1:]
+        end = np.minimum.accumulate(np.where(ends, np.arange(n), n)[::-1])[::-1]
+        self.run = np.where(self.marked, 0, end + 1 - np.arange(n))
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of ``length`` free words begin, and the hash of each, rolled on from sums."""
+        at = np.flatnonzero(self.run >= length)
+        with np.errstate(over="ignore"):
+            return at, (self.sums[at + length] - self.sums[at]) * self.back[at]
+
+
+def longest_match(text: Free, item: Free, size: int, most: int) -> int:
+    """The length of the longest free match of ``size`` to ``most`` words, 0 if there is none."""
+
+    def matches(length: int) -> bool:
+        return bool(np.isin(item.windows(length)[1], text.windows(length)[1]).any())
+
+    most = min(most, int(text.run.max(initial=0)), int(item.run.max(initial=0)))
+    if most < size or not matches(size):
+        return 0
+    if matches(most):
+        return most
+    while most - size > 1:  # a match of ``size`` words exists, none of ``most``
+        middle = (size + most) // 2
+        size, most = (middle, most) if matches(middle) else (size, middle)
+    return size
+
+
+def tile(text: np.ndarray, item: np.ndarray, size: int, seeds: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in the text, place in the item, words) of at least ``size`` words.
 
-    ``pairs`` are all places where a window of the text equals one of the item. The longest matches
-    free of marked words are marked first, equal ones in the order of their places; then what is
-    left of the others is searched again, until nothing of ``size`` words is free.
+    The longest matches free of marked words are marked first, equal ones in the order of their
+    places; then what is left is searched again, until nothing of ``size`` words is free. The length
+    is found by halving, with hashes of all free runs of one length at a time, so the work is that
+    of the words times the number of different lengths, however often words repeat. ``seeds`` are the
+    places of the text where a run of ``size`` words of the item begins; all, if not given.
     """
-    length = match_lengths(pairs, size)
-    text_marked: set[int] = set()
-    item_marked: set[int] = set()
+    places = np.arange(len(text))
+    if seeds is not None:
+        places = np.unique((seeds[:, None] + np.arange(size)).ravel())
+    here, there = Free(text, places), Free(item, np.arange(len(item)))
     tiles: list[tuple[int, int, int]] = []
-    open_ = sorted(length)
-    while open_:
-        free: dict[tuple[int, int], int] = {}
-        for p, q in open_:
-            n = 0
-            while n < length[p, q] and p + n not in text_marked and q + n not in item_marked:
-                n += 1
-            if n >= size:
-                free[p, q] = n
-        longest = max(free.values(), default=0)
-        for (p, q), n in free.items():
-            if n == longest and not any(p + i in text_marked or q + i in item_marked for i in range(n)):
-                tiles.append((p, q, n))
-                text_marked.update(range(p, p + n))
-                item_marked.update(range(q, q + n))
-        open_ = list(free)
+    length = len(item)
+    while length := longest_match(here, there, size, length):
+        at, hashes = here.windows(length)
+        found, known = there.windows(length)
+        order = np.argsort(known, kind="stable")
+        known, found = known[order], found[order]
+        low, high = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+        hit = high > low
+        next_: dict[int, int] = {}  # per hash, the first place of the item that may still be free
+        for p, begin, end in zip(at[hit].tolist(), low[hit].tolist(), high[hit].tolist()):
+            # what is marked meanwhile has this length, so it shows at one of the ends
+            if here.marked[p] or here.marked[p + length - 1]:
+                continue
+            k = next_.get(begin, begin)
+            while k < end and (there.marked[found[k]] or there.marked[found[k] + length - 1]):
+                k += 1
+            next_[begin] = k
+            if k < end:
+                q = int(found[k])
+                tiles.append((int(here.places[p]), q, length))
+                here.marked[p : p + length] = there.marked[q : q + length] = True
+        here.measure()
+        there.measure()
+        length -= 1
     return tiles
 
 
@@ -73,12 +118,15 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str], size: int) -> None:
         words, offsets = words_of(pa.array(texts, pa.string()))
         self.size, self.ids, self.lengths = size, ids, np.diff(offsets)
+        self.words, self.offsets = words, offsets
         places = np.flatnonzero(within(offsets, size))[: max(0, len(words) - size + 1)]
         seeds = windows(words, size)[places]
         owner = np.repeat(np.arange(len(ids)), self.lengths)[places]
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner = seeds[order], owner[order]
-        self.place = (places - offsets[owner])[order]
+        order = np.lexsort((owner, seeds))
+        seeds, owner = seeds[order], owner[order]
+        first = np.ones(len(seeds), bool)  # a seed that an item repeats finds it once
+        first[1:] = (seeds[1:] != seeds[:-1]) | (owner[1:] != owner[:-1])
+        self.seeds, self.owner = seeds[first], owner[first]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.seeds >> U(64 - FILTER_BITS)).astype(np.int64)] = True
         self.short: list[tuple[int, np.ndarray, np.ndarray]] = []  # words, sorted seeds, item of each
@@ -89,21 +137,21 @@ class Items:
                 order = np.argsort(whole, kind="stable")
                 self.short.append((n, whole[order], of_size[order]))
 
-    def hits(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-        """(text, item, pairs of places) for every text that shares a seed with an item."""
+    def hits(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, item, places of the text) for every text that shares seeds with an item."""
         hashes = windows(words, self.size)
         maybe = np.flatnonzero(self.filter[(hashes >> U(64 - FILTER_BITS)).astype(np.int64)])
         maybe = maybe[within(offsets, self.size)[maybe]]
         low = np.searchsorted(self.seeds, hashes[maybe], "left")
-        high = np.searchsorted(self.seeds, hashes[maybe], "right")
-        pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        hit = high > low
-        text = np.searchsorted(offsets, maybe, "right") - 1
-        for p, t, i, j in zip(maybe[hit], text[hit], low[hit], high[hit]):
-            for s in range(i, j):
-                pairs.setdefault((int(t), int(self.owner[s])), []).append((int(p - offsets[t]), int(self.place[s])))
-        for (t, item), places in sorted(pairs.items()):
-            yield t, item, places
+        n = np.searchsorted(self.seeds, hashes[maybe], "right") - low
+        place = np.repeat(maybe, n)
+        item = self.owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        text = np.searchsorted(offsets, place, "right") - 1
+        order = np.lexsort((place, item, text))
+        place, item, text = place[order], item[order], text[order]
+        bounds = np.flatnonzero(np.concatenate([[True], (np.diff(item) != 0) | (np.diff(text) != 0), [True]])) if len(place) else []
+        for begin, end in zip(bounds[:-1], bounds[1:]):
+            yield int(text[begin]), int(item[begin]), place[begin:end] - offsets[text[begin]]
 
     def short_hits(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         """(text, item) for every item of fewer words than a seed that a text holds as a whole."""
@@ -125,8 +173,10 @@ class Items:
                 out[begin + t].append(
                     {"item_id": self.ids[item], "covered": words, "n_words": words, "tiles": 1, "coverage": 1.0}
                 )
-            for t, item, pairs in self.hits(*words_in):
-                tiles = tile(pairs, self.size)
+            hashes, offsets = words_in
+            for t, item, seeds in self.hits(*words_in):
+                own = self.words[self.offsets[item] : self.offsets[item + 1]]
+                tiles = tile(hashes[offsets[t] : offsets[t + 1]], own, self.size, seeds)
                 covered, words = sum(n for _, _, n in tiles), int(self.lengths[item])
                 if covered >= coverage * words:
                     out[begin + t].append(
