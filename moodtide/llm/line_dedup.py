@@ -32,20 +32,22 @@ def dedup_lines(
 
     Lines end at ``\\n``; a null or empty text is one empty line. A key is the line without white
     space at both ends, A-Z in lower case; keys under ``min_chars`` code points always stay.
-    Each row is a document: a repeated row counts as one more, and rows with a null id count too.
-    One row per input row: doc_id, n_lines, n_dropped, kept_text. An empty table gives no rows.
+    Documents are told apart by their id: rows that share one count once for each key. Rows without
+    an id are told apart by their text, so those of equal texts count once. Every row loses its lines. One row per input row: doc_id, n_lines, n_dropped, kept_text. An empty table gives no rows.
 
-    Only hashes of lines move. A document adds a key once, and counts combine before the
-    shuffle, so a line that all documents share costs a row per task. The join that finds the
+    Only hashes of lines move. They are dealt by document and key first, so a line that all documents
+    share is spread, and counts combine before they are dealt by key. The join that finds the
     places of shared lines is a plain sort-merge join, whose large partitions Spark splits.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     keyed = rows.select(
         "doc_id", F.xxhash64("text").alias("t"), line_keys(F.col("text"), min_chars).alias("keys")
     )
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("t")).alias("unnamed")
     shared = (
-        keyed.select(F.explode(F.array_distinct("keys")).alias("key"))
+        keyed.select("doc_id", unnamed, F.explode(F.array_distinct("keys")).alias("key"))
         .where("key IS NOT NULL")
+        .distinct()
         .groupBy("key.h1", "key.h2")
         .agg(F.count(F.lit(1)).alias("n_docs"))
         .where(F.col("n_docs") >= min_docs)
@@ -61,8 +63,11 @@ def dedup_lines(
     )
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_t"))
     lines = F.split("text", "\n")
-    # positions that stay, in order: hashing, so long texts with many dropped lines stay linear
+    # positions that stay, in order: by hashing, and the text is split once, so long texts with many
+    # lines stay linear
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
+    once = F.array(F.struct(lines.alias("lines"), kept.alias("kept")))
+    joined = F.transform(once, lambda t: F.array_join(F.transform(t["kept"], lambda i: F.get(t["lines"], i)), "\n"))
     return (
         rows.join(places, same, "left")
         .select(
@@ -70,7 +75,7 @@ def dedup_lines(
             F.size(lines).cast("long").alias("n_lines"),
             F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
             F.when(F.col("dropped").isNull(), F.col("text"))
-            .otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+            .otherwise(F.get(joined, F.lit(0)))
             .alias("kept_text"),
         )
     )
