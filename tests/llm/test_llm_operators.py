@@ -69,10 +69,23 @@ def test_lines_of_awkward_tables(spark):
     rows = awkward(spark)
     got = line_dedup.dedup_lines(rows, min_docs=2).collect()
     assert len(got) == rows.count()
-    assert {r["doc_id"]: r["kept_text"] for r in got}[4] == "" + "\n".join([""])  # both lines repeat, the empty one stays
+    texts = {r["doc_id"]: r["kept_text"] for r in got}
+    assert texts[4] == "same words here in both rows\n\ntail"  # in two rows, but of one document
+    assert texts[BIG] == texts[None] == "" and set(texts[3]) == set()  # in two documents each
+    assert texts[9] == "\n" * 999_999 + "b"
     assert line_dedup.dedup_lines(rows.limit(0)).count() == 0
 
 
+def test_lines_of_repeated_rows_count_once(spark):
+    ten = [(1, "line of one\nline of two")] * 10 + [(2, "line of two")] + [(None, "line of none")] * 3 + [(None, "line of none\nx")]
+    docs = spark.createDataFrame(ten, "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs, min_docs=2).collect()
+    assert {r["kept_text"] for r in got if r["doc_id"] == 1} == {"line of one"}
+    assert sorted(r["kept_text"] for r in got if r["doc_id"] is None) == ["", "", "", "x"]
+    got = line_dedup.dedup_lines(docs, min_docs=3).collect()
+    assert {r["kept_text"] for r in got if r["doc_id"] == 1} == {"line of one\nline of two"}
+
+
 # decontamination
 
 
@@ -127,6 +140,28 @@ def test_leaks_survive_reordering_and_blocks(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_tiling_of_repeated_words_is_fast(spark):
+    import time
+
+    for words, of_item in ((10_000, 1_000), (300_000, 40)):
+        started = time.time()
+        found = decontaminate.Items([1], ["again " * of_item], 5).find(pa.array(["again " * words]), 0.6)
+        assert found[0][0]["covered"] == of_item and found[0][0]["tiles"] == 1
+        assert time.time() - started < 2
+    alternating = " ".join(["again"] * 10 + ["stop"]) + " "
+    started = time.time()
+    found = decontaminate.Items([1], ["again " * 1000], 5).find(pa.array([alternating * 1000]), 0.6)
+    assert found[0][0]["covered"] == 1000 and found[0][0]["tiles"] == 100 and time.time() - started < 2
+
+
+def test_leaks_of_awkward_tables(spark):
+    rows = awkward(spark)
+    items = [(1, "one two three four five six"), (2, "again " * 900), (BIG, "same words here in both rows")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(rows, bench).collect()
+    assert sorted((r["item_id"], str(r["doc_id"])) for r in got) == [(1, str(BIG)), (1, "None"), (2, "10"), (BIG, "4"), (BIG, "4")]
+
+
 # language
 
 
@@ -237,6 +272,51 @@ def test_near_duplicates_of_awkward_tables(spark):
     assert minhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+def near_copies(n, words, changed, seed):
+    draw = random.Random(seed)
+    texts = []
+    for i in range(n):
+        text = [f"w{i}" for i in range(words)]
+        for j, at in enumerate(draw.sample(range(words), changed)):
+            text[at] = f"c{i}x{j}"
+        texts.append(" ".join(text))
+    return texts
+
+
+@pytest.mark.parametrize("words,changed", [(120, 1), (250, 3)])
+def test_pairs_grow_in_proportion_to_near_copies(spark, monkeypatch, words, changed):
+    """Similar to each other by about 0.84, and by 0.78: mostly just under the limit."""
+    seen = []
+    real = minhash.centre_pairs
+    monkeypatch.setattr(minhash, "centre_pairs", lambda members: seen.append(real(members)) or seen[-1])
+    pairs = []
+    for n in (200, 800):
+        seen.clear()
+        found = minhash.near_duplicates(docs_of(spark, near_copies(n, words, changed, 9)), block_texts=150)
+        links, classes = found.agg(F.sum("n_links"), F.count_distinct("class_id")).first()
+        pairs.append(sum(p.count() for p in seen) + links // 2)
+        assert classes == 1 or changed > 1
+    # one pair a node and key at most; where nearly nothing is linked that is all that bounds them
+    assert pairs[1] <= (4.6 * pairs[0] if changed == 1 else 16 * 800), pairs
+
+
+def test_classes_of_many_borderline_copies(spark):
+    texts = near_copies(60, 250, 3, 10) + near_copies(40, 120, 2, 11)
+    got = by_id(minhash.near_duplicates(docs_of(spark, texts), block_texts=5))
+    assert [got[i]["class_id"] for i in range(len(texts))] == plain_classes(texts)
+
+
+def test_block_products_are_similarities():
+    draw = np.random.default_rng(12)
+    cells = [np.sort(draw.choice(9000, draw.integers(1, 6000), replace=False)).astype(np.uint64) for _ in range(12)]
+    left, right = np.array([0, 3, 5]), np.array([1, 2, 3, 11])
+    got = minhash.similarities(cells, left, right)
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            common = len(np.intersect1d(cells[a], cells[b]))
+            assert got[i, j] == common / (len(cells[a]) + len(cells[b]) - common)
+
+
 def test_components_of_chains_and_stars(spark):
     draw = random.Random(6)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (500, 501), (501, 500)]
@@ -292,6 +372,17 @@ def test_exact_copies_of_awkward_tables(spark):
     assert exact_dedup.dedup_exact(rows.limit(0)).count() == 0
 
 
+def test_ids_that_no_double_holds_survive_a_null(spark):
+    ids = [2**53 + 1 + 2 * i for i in range(20)] + [2**62 + 1, -(2**62) - 1, None]
+    docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    got = exact_dedup.dedup_exact(docs, per_bucket=100).collect()
+    assert all(r["kept"] and r["keep_id"] == r["doc_id"] and r["group_size"] == 1 for r in got)
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(map(str, ids))
+    lengths = spark.createDataFrame([(i, 9000) for i in ids], "doc_id long, n_tokens int")
+    packed = packing.best_fit(lengths).collect()
+    assert sorted((str(r["doc_id"]), r["piece"]) for r in packed) == sorted((str(i), p) for i in ids for p in (0, 1))
+
+
 # WARC
 
 PAGES = "page_id long, url string, html string, digest string, length int, n int"
@@ -448,6 +539,24 @@ def test_line_tokens_against_brute_force(spark):
     assert sum(r["n_tokens"] for r in tokens.line_tokens(awkward(spark), tokenizer).collect()) > 0
 
 
+def test_long_runs_of_blanks_keep_their_tokens(spark, monkeypatch):
+    encoding, _ = tokens.Tokenizer(spark).load()
+    draw = random.Random(8)
+    monkeypatch.setattr(tokens, "LONG_BLANKS", re.compile(tokens.LONG_BLANKS.pattern.replace("4096", "3")))
+    for _ in range(2000):
+        text = "".join(draw.choices([" ", "\n", "\t", "\u3000", "\xa0", "\x1c", "a", "'s", "9", "!", "é"], k=draw.randint(0, 30)))
+        assert tokens.encode(encoding, text) == encoding.encode_ordinary(text)
+
+
+def test_tokens_of_awkward_tables(spark):
+    rows = awkward(spark)
+    tokenizer = tokens.Tokenizer(spark)
+    whole = {r["doc_id"]: r["n"] for r in rows.select("doc_id", tokens.count_tokens(F.col("text"), tokenizer).alias("n")).collect()}
+    assert whole[1] == 0 and whole[8] == 1_000_000 and whole[9] == 500_003 and whole[10] == 100_001
+    of_lines = tokens.line_tokens(rows.where("doc_id <> 4"), tokenizer).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in of_lines} == {i: n for i, n in whole.items() if i not in (None, 4)}
+
+
 def test_boundary_tokens_go_by_the_largest_share():
     # sections of 4, 2 and 6 characters with one character between them
     starts, home, crossing = tokens.attribute(np.array([0, 2, 6, 8]), np.array([2, 6, 8, 14]), np.array([4, 2, 6]), 1)
@@ -497,6 +606,16 @@ def test_best_fit_over_documents(spark):
     assert packing.best_fit(spark.createDataFrame([], "doc_id long, n_tokens int")).count() == 0
 
 
+def test_rows_without_an_id_are_dealt_like_others(spark, monkeypatch):
+    groups = []
+    real = packing.groups_for
+    monkeypatch.setattr(packing, "groups_for", lambda n, per: groups.append(real(n, per)) or groups[-1])
+    lengths = spark.range(60_000).selectExpr("cast(null AS long) AS doc_id", "cast(id % 700 + 1 AS int) AS n_tokens")
+    got = packing.best_fit(lengths, per_group=2000).groupBy((F.col("bin") / packing.GROUP_BINS).cast("int").alias("g")).count().collect()
+    assert groups == [30] and len(got) == 30 and sum(r["count"] for r in got) == 60_000
+    assert max(r["count"] for r in got) < 2400
+
+
 def test_larger_bins_open_and_shrink_at_the_production_cost():
     capacities = list(packing.CAPACITIES)
     costs = [packing.sequence_cost(c) for c in capacities]

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from test_llm_operators import awkward, plain_classes, plain_tiles, DOCS, WORD
+from small_tables import DOCS, awkward
+from test_llm_operators import WORD, plain_classes, plain_tiles
 from moodtide.llm import language, tokens
 
 SMALL = "/root/testdata/sf0.001"
