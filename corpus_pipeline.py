@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from moodtide.llm.decontaminate import without_leaks
 from moodtide.llm.exact_dedup import dedup_exact, own_key
-from moodtide.llm.frames import stored, table, text_key, text_of
+from moodtide.llm.frames import numbered, stored, table, text_key, text_of, without
 from moodtide.llm.language import in_known_language
 from moodtide.llm.minhash import near_duplicates
 from moodtide.llm.queries import packed
@@ -27,26 +26,31 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A row is decided by its own id, digest and length, so different texts under one id, or without
     an id, all stay. Of rows that share all three the first by the hashes of its text stays.
     """
-    decided = dedup_exact(docs)
+    rows = numbered(docs)
+    own = rows.select("row.doc_id", "row.text", "number")
+    decided = dedup_exact(own)
     kept = decided.where("kept").select(F.struct("doc_id", "chars", "digest").alias("row_key")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.struct(*own_key()).alias("row_key"), *text_key(text_of("text")))
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("k1", "k2"))
-    mine = rows.join(kept, "row_key", "left_semi").withColumn("nth", nth)
-    return mine.where("nth = 1").select("row.*")
+    keys = stored(own.select("number", F.struct(*own_key()).alias("row_key"), *text_key(text_of("text"))), "row_keys")
+    first = F.min(F.struct("k1", "k2", "number")).alias("first")
+    stay = keys.groupBy("row_key").agg(first).join(kept, "row_key", "left_semi").select("first.number")
+    return without(rows, stored(keys.select("number").join(stay, "number", "left_anti"), "gone"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates, the document with the smallest id stays, null last.
 
-    Every row is a document: rows are numbered in the order of their ids, and classes are made of
-    the numbers. So texts that share an id, or have none, are each compared and decided by themselves.
+    Every row is a document under a number of its own, and classes are made of the numbers. So texts
+    that share an id, or have none, are each compared and decided by themselves; of rows with the
+    same id in a class the first by the hashes of its text stays.
     """
-    keyed = docs.select(F.struct("*").alias("row"), *text_key(text_of("text")))
-    in_order = keyed.orderBy(F.col("row.doc_id").asc_nulls_last(), "k1", "k2")
-    rows = stored(in_order.select("row", F.monotonically_increasing_id().alias("number")), "numbered")
+    rows = numbered(docs)
     found = near_duplicates(rows.select("number", "row.text"), id_col="number")
-    kept = found.where("kept").select(F.col("doc_id").alias("number"))
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    of_class = found.select(F.col("doc_id").alias("number"), "class_id")
+    keys = rows.select("number", F.col("row.doc_id").alias("doc_id"), *text_key(text_of("row.text")))
+    placed = stored(keys.join(of_class, "number"), "row_classes")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "number")
+    stay = placed.groupBy("class_id").agg(F.min(order).alias("first")).select("first.number")
+    return without(rows, stored(placed.select("number").join(stay, "number", "left_anti"), "gone"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
