@@ -83,6 +83,24 @@ PAGES = T.StructType(
     ]
 )
 
+HOURLY_SUMS = T.StructType(
+    [
+        T.StructField("hour", T.TimestampNTZType()),
+        T.StructField("total", T.DoubleType()),
+        T.StructField("posts", T.LongType()),
+    ]
+)
+
+USER_STATS = T.StructType(
+    [
+        T.StructField("user_id", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("mean", T.DoubleType()),
+        T.StructField("m2", T.DoubleType()),
+    ]
+)
+
+
 TABLES = {
     "raw_data": RAW_DATA,
     "user_sentiment": USER_SENTIMENT,
@@ -90,5 +108,7 @@ TABLES = {
     "products": PRODUCTS,
     "posts_clean": POSTS_CLEAN,
     "posts_scored": POSTS_SCORED,
+    "hourly_sums": HOURLY_SUMS,
+    "user_stats_changed": USER_STATS,
     "pages": PAGES,
 }
