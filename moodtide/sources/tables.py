@@ -89,23 +89,30 @@ class Tables:
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def forget(self, name: str, ids: DataFrame) -> None:
-        """Take rows of some ids out of a stage table; only batches that hold any are rewritten."""
-        if not self._children(self.path(name), "batch="):
-            return
-        schema = T.StructType([*TABLES[name].fields, T.StructField("batch", T.IntegerType())])
-        rows = self.spark.read.schema(schema).parquet(self.path(name))
-        # numbers of the rounds within retention
-        touched = [r["batch"] for r in rows.join(ids, "id", "left_semi").select("batch").distinct().collect()]
-        aside = f"{self.path(name)}-kept"
-        kept = rows.where(F.col("batch").isin(touched)).join(ids, "id", "left_anti")
-        kept.repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(aside)
-        for number in touched:
-            if self._exists(f"{aside}/batch={number}"):
-                left = self.spark.read.schema(TABLES[name]).parquet(f"{aside}/batch={number}")
+    def forget(self, name: str, ids: DataFrame, run: str) -> None:
+        """Take rows of some ids out of a stage table; only batches that hold any are rewritten.
+
+        What stays of them is written aside first, under the name of the ``run``. A run that was cut
+        short goes on from there when repeated.
+        """
+        aside = f"{self.path(name)}-kept/{run}"
+        if not self._exists(f"{aside}/rows/_SUCCESS"):
+            if not self._children(self.path(name), "batch="):
+                return
+            schema = T.StructType([*TABLES[name].fields, T.StructField("batch", T.IntegerType())])
+            rows = self.spark.read.schema(schema).parquet(self.path(name))
+            touched = rows.join(ids, "id", "left_semi").select("batch").distinct()
+            touched.write.mode("overwrite").parquet(f"{aside}/touched")
+            numbers = F.broadcast(self.spark.read.parquet(f"{aside}/touched"))  # rounds within retention
+            kept = rows.join(numbers, "batch", "left_semi").join(ids, "id", "left_anti")
+            kept.repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(f"{aside}/rows")
+        for number in [r["batch"] for r in self.spark.read.parquet(f"{aside}/touched").collect()]:
+            if self._exists(f"{aside}/rows/batch={number}"):
+                left = self.spark.read.schema(TABLES[name]).parquet(f"{aside}/rows/batch={number}")
                 self.append(name, left, number)
             else:
                 self._delete(f"{self.path(name)}/batch={number}")
+        self._delete(aside)
 
     # --- snapshots -------------------------------------------------------------------
 
@@ -200,28 +207,39 @@ class Tables:
     def drop_posts(self, before: dt.datetime, stages: tuple[str, ...] = ()) -> int:
         """Retention: delete posts created before a time, and their rows in stage tables.
 
-        Whole days go with their folder; the day the time falls on is written anew. The ids are
-        written down first and the stage tables cleared before the posts, so a run cut short can
-        be repeated.
+        Whole days go with their folder; the day the time falls on is written anew. The ids that go
+        and what stays of that day are written aside before anything is changed. A run that was cut
+        short is finished from there first, by whichever run comes next.
         """
         if not self._exists(self.path("raw_data")):
             return 0
-        day = before.date()
-        early = self._partitioned("raw_data").where(F.col("create_date") <= F.lit(day))
-        expired = early.where(F.col("create_time") < F.lit(before).cast("timestamp_ntz"))
-        aside = f"{self.path('raw_data')}-expired"
-        expired.select("id").write.mode("overwrite").parquet(f"{aside}/ids")
+        run = f"at={before:%Y%m%dT%H%M%S.%f}"
+        for unfinished in self._children(f"{self.path('raw_data')}-expired", "at="):
+            if unfinished != run and self._exists(f"{self.path('raw_data')}-expired/{unfinished}/kept/_SUCCESS"):
+                self._finish_drop(unfinished, stages)
+        aside = f"{self.path('raw_data')}-expired/{run}"
+        if not self._exists(f"{aside}/kept/_SUCCESS"):
+            limit = F.lit(before).cast("timestamp_ntz")
+            early = self._partitioned("raw_data").where(F.col("create_date") <= F.lit(before.date()))
+            early.where(F.col("create_time") < limit).select("id").write.mode("overwrite").parquet(f"{aside}/ids")
+            that_day = early.where((F.col("create_date") == F.lit(before.date())) & (F.col("create_time") >= limit))
+            that_day.drop("create_date").write.mode("overwrite").parquet(f"{aside}/kept")
+        return self._finish_drop(run, stages)
+
+    def _finish_drop(self, run: str, stages: tuple[str, ...]) -> int:
+        aside = f"{self.path('raw_data')}-expired/{run}"
+        day = dt.datetime.strptime(run, "at=%Y%m%dT%H%M%S.%f").date().isoformat()
         ids = self.spark.read.parquet(f"{aside}/ids")
         for stage in stages:
-            self.forget(stage, ids)
-        that_day = early.where(F.col("create_date") == F.lit(day))
-        kept = that_day.where(F.col("create_time") >= F.lit(before).cast("timestamp_ntz"))
-        kept.drop("create_date").write.mode("overwrite").parquet(f"{aside}/kept")
-        left = self.spark.read.schema(TABLES["raw_data"]).parquet(f"{aside}/kept")
+            self.forget(stage, ids, run)
         for name in self._children(self.path("raw_data"), "create_date="):
-            found = name.removeprefix("create_date=")
-            if found < day.isoformat() or found == day.isoformat() and left.isEmpty():
+            if name.removeprefix("create_date=") < day:
                 self._delete(f"{self.path('raw_data')}/{name}")
-            elif found == day.isoformat():
-                left.write.mode("overwrite").parquet(f"{self.path('raw_data')}/{name}")
-        return ids.count()
+        left = self.spark.read.schema(TABLES["raw_data"]).parquet(f"{aside}/kept")
+        if left.isEmpty():
+            self._delete(f"{self.path('raw_data')}/create_date={day}")
+        else:
+            left.write.mode("overwrite").parquet(f"{self.path('raw_data')}/create_date={day}")
+        deleted = ids.count()
+        self._delete(aside)
+        return deleted
