@@ -190,25 +190,30 @@ def post_links(html: str) -> list[dict]:
     return found
 
 
-def _object_around(script: str, at: int) -> str:
-    """The innermost balanced object of ``script`` that holds position ``at``."""
-    start = script.rfind("{", 0, at + 1)
-    while start != -1:
-        depth, end = 0, None
-        for mark in _JSON_MARK.finditer(script, start):
-            if mark.group() == "{":
-                depth += 1
-            elif mark.group() == "}":
-                depth -= 1
-                if depth == 0:
-                    end = mark.end()
-                    break
-        if end is None:
-            return ""
-        if end > at:
-            return script[start:end]
-        start = script.rfind("{", 0, start)
-    return ""
+def _objects_around(script: str, places: list[int]) -> dict[int, tuple[int, int] | None]:
+    """For each place the span of the innermost object that holds it; None where that is never closed.
+
+    One pass over all braces outside of strings: the braces open at a place are a stack, and the
+    top of it is the object asked for.
+    """
+    open_: list[tuple[int, list[int]]] = []  # where it begins, and the places directly inside
+    found: dict[int, tuple[int, int] | None] = dict.fromkeys(places)
+    waiting = sorted(places, reverse=True)
+
+    def settle(until: int) -> None:
+        while waiting and waiting[-1] < until:
+            place = waiting.pop()
+            if open_:
+                open_[-1][1].append(place)
+
+    for mark in _JSON_MARK.finditer(script):
+        settle(mark.start())
+        if mark.group() == "{":
+            open_.append((mark.start(), []))
+        elif mark.group() == "}" and open_:
+            begin, inside = open_.pop()
+            found.update(dict.fromkeys(inside, (begin, mark.end())))
+    return found
 
 
 def _script_times(scripts: list[str]) -> dict[str, str]:
@@ -225,10 +230,15 @@ def _script_times(scripts: list[str]) -> dict[str, str]:
                 mentions.setdefault((1, quoted) if quoted else (0, plain), match.start())
             elif quoted:
                 mentions.setdefault((2, quoted), match.start())
+        around = _objects_around(script, list(mentions.values()))
+        published: dict[tuple[int, int], str | None] = {}  # of each object, looked for once
         for kind, post_id in sorted(mentions):
-            if post_id in times:
+            span = around[mentions[kind, post_id]]
+            if post_id in times or span is None:
                 continue
-            time = _PUBLISH_TIME.search(_object_around(script, mentions[kind, post_id]))
-            if time:
-                times[post_id] = time.group(1).strip()
+            if span not in published:
+                time = _PUBLISH_TIME.search(script, *span)
+                published[span] = time and time.group(1).strip()
+            if published[span] is not None:
+                times[post_id] = published[span]
     return times

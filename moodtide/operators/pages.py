@@ -31,12 +31,13 @@ PAGES_AT_ONCE = 64
 #: What holds no links though it may look so.
 NOT_SHOWN = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)"
 _VALUE = r"""(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))"""
-_OTHER = r"""[\s/]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+"""
+#: An attribute's value where it is not asked for, without alternatives: Java repeats such groups in
+#: a loop and not on its stack, so a tag may have any number of attributes.
+_ANY_VALUE = r"""(?:\s*+=\s*+(?:"[^"]*+")?+(?:'[^']*+')?+(?:(?<!["'])[^\s>"'][^\s>]*+)?+)?+"""
 #: A link: target in double quotes, single quotes or none, then what stands inside, to the next <a or </a.
-#: Attributes are read name by name; the bound (of names, spaces and values) keeps the Java stack small.
 ANCHOR = (
-    rf"(?is)<a(?=[\s/])(?:(?!href\s*=)[^\s>=/]++|{_OTHER}){{0,1000}}+href\s*=\s*{_VALUE}"
-    rf"(?:[^\s>=/]++|{_OTHER}){{0,1000}}+>(.*?)(?=<a[\s/>]|</a[\s>]|\z)"
+    rf"(?is)<a(?=[\s/])(?:[\s/]*+(?!href\s*=)[^\s>=/]*+{_ANY_VALUE})*+[\s/]*+href\s*=\s*{_VALUE}"
+    rf"(?:[\s/]*+[^\s>=/]*+{_ANY_VALUE})*+[\s/]*+>(.*?)(?=<a[\s/>]|</a[\s>]|\z)"
 )
 POST_LINK_SCHEMA = T.StructType(
     [
@@ -84,7 +85,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 
     Comments and scripts hold none. Targets may be in quotes of both kinds or without, and a link
     that is not closed ends where the next begins. Targets and texts stand as the page has them:
-    character references are not resolved. Tags of several hundred attributes are passed over.
+    character references are not resolved.
     """
     anchors = F.regexp_extract_all(F.regexp_replace("html", NOT_SHOWN, ""), F.lit(ANCHOR), F.lit(0))
     found = pages.select("page_id", F.posexplode(anchors).alias("pos", "link")).select(
