@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodtide.fixed_values import STATUS_CLEANED, STATUS_RAW, STATUS_SCORED
-from moodtide.fixed_values import CLEAN_CONTENT_CHARS
 from moodtide.functions.text import clean_text
 from moodtide.functions.times import ntz
 
@@ -52,11 +51,11 @@ def scorable_by_status(posts: DataFrame) -> DataFrame:
 
 
 def clean_batch(
-    pending: DataFrame, as_of: dt.datetime, max_chars: int | None = CLEAN_CONTENT_CHARS
+    pending: DataFrame, as_of: dt.datetime, max_chars: int | None = None
 ) -> DataFrame:
     """Rows to append to the cleaned table, stamped with one time per batch.
 
-    Posts keep ``max_chars`` characters of clean text, all of it with None.
+    Posts keep their whole clean text, or its first ``max_chars`` characters where the caller says so.
     """
     clean = clean_text(F.col("content"), max_chars)
     return pending.select("id", clean.alias("clean_content"), ntz(as_of).alias("update_time"))

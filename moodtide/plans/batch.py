@@ -41,9 +41,9 @@ def ingest(tables: Tables, pages: DataFrame, as_of: dt.datetime, batch: int) ->
     return {"upsert_rows": landed.count()}
 
 
-def clean(tables: Tables, as_of: dt.datetime, batch: int) -> None:
+def clean(tables: Tables, as_of: dt.datetime, batch: int, max_chars: int | None = None) -> None:
     pending = status.pending_posts(tables.posts(), tables.appended("posts_clean", batch))
-    tables.append("posts_clean", status.clean_batch(pending, as_of), batch)
+    tables.append("posts_clean", status.clean_batch(pending, as_of, max_chars), batch)
 
 
 def score(tables: Tables, scorer: Scorer, as_of: dt.datetime, batch: int) -> None:
@@ -92,11 +92,11 @@ def reload_catalog(tables: Tables, products: DataFrame) -> int:
 
 
 def run(
-    tables: Tables, pages: DataFrame, scorer: Scorer, as_of: dt.datetime, batch: int
+    tables: Tables, pages: DataFrame, scorer: Scorer, as_of: dt.datetime, batch: int, max_chars: int | None = None
 ) -> dict:
-    """One round. A stage that fails ends it; the next round resumes from the tables."""
+    """One round, retention at its end. A stage that fails ends it; the next one resumes from the tables."""
     counters = ingest(tables, pages, as_of, batch)
-    clean(tables, as_of, batch)
+    clean(tables, as_of, batch, max_chars)
     score(tables, scorer, as_of, batch)
     profiles(tables, as_of)
-    return counters
+    return {**counters, "deleted": prune(tables, as_of)}

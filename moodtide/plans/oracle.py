@@ -462,7 +462,7 @@ def build() -> dict[str, str]:
       LEFT JOIN first_rows f USING (raw_data_id)"""
     sql["upsert_profiles"] = f"""WITH {POST_PLAIN},
       before AS (SELECT * FROM post WHERE post_time < {CUTOFF}),
-      after AS (SELECT * FROM post WHERE post_time >= {CUTOFF} AND topic = 'click'),
+      after AS (SELECT * FROM post WHERE post_time >= {CUTOFF}),
       old AS ({profile_of('before')}), new AS ({profile_of('after')}),
       merged AS (
         SELECT *, {AS_OF} AS update_time FROM new UNION ALL
@@ -528,6 +528,14 @@ def build() -> dict[str, str]:
       SELECT hour, round(avg_score, 9) AS avg_score, posts FROM h WHERE hour + INTERVAL 1 HOUR <=
         (SELECT max(post_time) FROM post WHERE sentiment_score IS NOT NULL) - INTERVAL 1 HOUR"""
     sql["stream_dedup"] = f"WITH {POST} SELECT id, source_post_id, post_time FROM post"
+    whole = cleaned("coalesce(content, '')")
+    sql["stream_clean"] = f"""WITH {POST} SELECT id, user_id, {whole} AS clean_content, {AS_OF} AS update_time
+      FROM post"""
+    texts = f"(SELECT * FROM (SELECT id, user_id, {whole} AS clean_content FROM post) WHERE clean_content <> '')"
+    words = lexicon(texts, "id", "clean_content", ["purchase", "error"], ["view", "signup"], ", user_id, clean_content")
+    sql["stream_score"] = f"""WITH {POST}, {words} SELECT id, id AS raw_data_id, user_id, clean_content,
+      round(score, 9) AS sentiment_score, lab AS sentiment_label, {AS_OF} AS analyze_time FROM lexed"""
+    sql["stream_hourly_all"] = sql["hourly_sentiment"]
     sql["stream_profiles"] = sql["risk_profiles"]
     sql["stream_ingest"] = f"""WITH {PAGE_POSTS} SELECT CAST(source_post_id AS BIGINT) AS id,
       source_post_id, user_id, content, post_time, {AS_OF} AS create_time,

@@ -33,7 +33,7 @@ from moodtide.operators import (
 from moodtide.sources import views
 from moodtide.sources.tables import Tables
 from moodtide.sources.views import AS_OF
-from moodtide.streaming import jobs
+from moodtide.streaming import jobs, rounds
 
 REGISTRY = {}
 DIGITS = 9
@@ -93,7 +93,7 @@ def clean_conversations(spark, sf_dir):
 def clean_posts(spark, sf_dir):
     """Cleaning write-back: the rows the cleaned table would gain."""
     pending = status.pending_by_status(views.posts(spark, sf_dir))
-    return status.clean_batch(pending, AS_OF)
+    return status.clean_batch(pending, AS_OF, CLEAN_CONTENT_CHARS)
 
 
 # --- sentiment -------------------------------------------------------------------------
@@ -500,9 +500,9 @@ def upsert_profiles(spark, sf_dir):
     old = profile.risk_profiles(posts.where(F.col("post_time") < cut)).withColumn(
         "update_time", cut
     )
-    new = profile.risk_profiles(
-        posts.where((F.col("post_time") >= cut) & (F.col("topic") == "click"))
-    ).withColumn("update_time", ntz(AS_OF))
+    new = profile.risk_profiles(posts.where(F.col("post_time") >= cut)).withColumn(
+        "update_time", ntz(AS_OF)
+    )
     return rounded(upsert.upsert_profiles(old, new), "avg_sentiment", "volatility")
 
 
@@ -645,13 +645,47 @@ def stream_dedup(spark, sf_dir):
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _cleaned_rounds(spark, sf_dir) -> str:
+    """Posts landed as three files and cleaned as they come; the folder of the clean ones."""
+    out = session.fresh_dir(spark, "stream-clean")
+    posts = views.posts(spark, sf_dir).select("id", "source_post_id", "user_id", "content")
+    rounds.clean_landed(spark, _landed_stream(spark, posts, "id"), out, AS_OF)
+    return out
+
+
+@query
+def stream_clean(spark, sf_dir):
+    return spark.read.schema(rounds.CLEANED).parquet(_cleaned_rounds(spark, sf_dir))
+
+
+@query
+def stream_score(spark, sf_dir):
+    """The second stream of the chain: it reads what the first has finished."""
+
+    def by_words(posts):
+        return scorer.score_with_lexicon(posts, ["purchase", "error"], ["view", "signup"])
+
+    cleaned, out = _cleaned_rounds(spark, sf_dir), session.fresh_dir(spark, "stream-score")
+    return rounded(rounds.score_cleaned(spark, cleaned, out, by_words, AS_OF), "sentiment_score")
+
+
+@query
+def stream_hourly_all(spark, sf_dir):
+    """Posts in an order that has nothing to do with their time; every one counts."""
+    root = session.fresh_dir(spark, "stream-hourly-all")
+    tables = Tables(spark, root)
+    posts = views.posts(spark, sf_dir).select("id", "post_time", "sentiment_score", F.hash("id").alias("order"))
+    rounds.hourly_sums_stream(_landed_stream(spark, posts, "order"), tables, f"{root}-checkpoint")
+    return rounded(rounds.hourly_from_sums(tables.appended("hourly_sums")), "avg_score")
+
+
 @query
 def stream_profiles(spark, sf_dir):
     root = session.fresh_dir(spark, "stream-profiles")
     tables = Tables(spark, root)
     events = _landed_stream(spark, views.table(spark, sf_dir, "events"), "event_id")
-    jobs.profile_stream(views.posts_from(events), tables, f"{root}-checkpoint")
-    stats = tables.read("user_stats", schema=jobs.STATS)
+    rounds.user_stats_stream(views.posts_from(events), tables, f"{root}-checkpoint")
+    stats = rounds.latest_stats(tables.appended("user_stats_changed"))
     return rounded(jobs.profiles_from_stats(stats), "avg_sentiment", "volatility")
 
 
