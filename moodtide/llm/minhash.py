@@ -269,7 +269,7 @@ def links_across(members: DataFrame, sets: DataFrame, least: float, block_texts:
         "key", F.col("most.class_id").alias("home"), blocks(F.col("n"), F.col("words")).alias("rights"),
         blocks(F.col("n") - F.col("most.n"), F.col("words") - F.col("home_words")).alias("lefts"),
     )
-    mixed = members.join(keys, "key").withColumn("h", F.abs(F.xxhash64("node", "key") % (1 << 30)))
+    mixed = stored(members.join(keys, "key").withColumn("h", F.abs(F.xxhash64("node", "key") % (1 << 30))), "mixed")
     strays = mixed.where("class_id <> home").select(
         "key", "node", "class_id", (F.col("h") % F.col("lefts")).alias("i"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"), F.lit(True).alias("stray"), F.lit(False).alias("inside"),
