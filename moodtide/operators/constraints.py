@@ -90,5 +90,41 @@ def null_violations(df: DataFrame, columns: list[str], prefix: str) -> DataFrame
     ).select("r.*")
 
 
+#: The unique key of each table, and the columns that hold a value in every row.
+UNIQUE_KEYS = {
+    "raw_data": "source_post_id", "user_sentiment": "raw_data_id", "risk_profile": "user_id", "products": "product_name",
+}
+REQUIRED = {
+    "raw_data": ["source_post_id", "user_id", "topic", "content", "post_time", "create_time", "update_time", "process_status"],
+    "user_sentiment": ["raw_data_id", "user_id", "clean_content", "sentiment_score", "sentiment_label", "analyze_time"],
+    "risk_profile": ["user_id", "avg_sentiment", "volatility", "post_count", "risk_level"],
+    "products": [
+        "product_name", "product_type", "risk_rating", "annual_yield", "max_drawdown", "sharpe_ratio", "tags",
+    ],
+}
+
+
+def key_violations(keys: dict[str, DataFrame]) -> DataFrame:
+    """How many values occur more than once under each name; a frame has its keys in one column.
+
+    All keys are stacked as (constraint, key) rows and counted by one aggregation, so no
+    constraint is a task of its own and a value that fills half a table costs a row per task. A name
+    without any key has no row.
+    """
+    stacked = [
+        df.select(F.lit(name).alias("constraint_name"), F.col(df.columns[0]).cast("string").alias("key"))
+        for name, df in keys.items()
+    ]
+    counted = reduce(DataFrame.unionByName, stacked).where("key IS NOT NULL").groupBy("constraint_name", "key").count()
+    return counted.groupBy("constraint_name").agg(F.count_if(F.col("count") > 1).alias("violations"))
+
+
+def table_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """Repeated unique keys and missing required values of the tables that are given, by their names."""
+    keys = {f"{t}.{UNIQUE_KEYS[t]} unique": df.select(UNIQUE_KEYS[t]) for t, df in tables.items()}
+    missing = [null_violations(df, REQUIRED[t], t) for t, df in tables.items()]
+    return violation_report(key_violations(keys), *missing)
+
+
 def violation_report(*reports: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from moodtide.operators.constraints import REQUIRED, UNIQUE_KEYS
 from moodtide.fixed_values import CLEAN_CONTENT_CHARS
 
 AS_OF = "TIMESTAMP '2024-01-30 23:00:00'"
@@ -493,6 +494,27 @@ def build() -> dict[str, str]:
       UNION ALL SELECT 'raw_data.user_id', count(*) FROM post WHERE user_id IS NULL
       UNION ALL SELECT 'raw_data.clean_content', count(*) FROM post WHERE clean_content IS NULL
       UNION ALL SELECT 'raw_data.sentiment_score', count(*) FROM post WHERE sentiment_score IS NULL"""
+    spoilt = {
+        "raw_data": """SELECT * REPLACE (CASE WHEN id % 10 = 0 THEN '00000000' ELSE source_post_id END AS source_post_id,
+          CASE WHEN id % 11 <> 0 THEN user_id END AS user_id) FROM post""",
+        "user_sentiment": f"""SELECT CASE WHEN id % 9 = 0 THEN -1 ELSE id END AS raw_data_id, user_id, clean_content,
+          sentiment_score, CASE WHEN id % 13 <> 0 THEN sentiment_label END AS sentiment_label, {AS_OF} AS analyze_time
+          FROM post WHERE process_status = 2""",
+        "risk_profile": """SELECT * REPLACE (CASE WHEN post_count % 5 = 0 THEN 'twice' ELSE user_id END AS user_id,
+          CASE WHEN post_count <> 3 THEN risk_level END AS risk_level) FROM profile""",
+        "products": """SELECT * REPLACE (CASE WHEN product_id % 7 = 0 THEN 'same name' ELSE product_name END AS product_name)
+          FROM catalog""",
+    }
+    doubled = [
+        f"SELECT '{t}.{key} unique' AS constraint_name, count(*) AS violations FROM "
+        f"(SELECT {key} FROM ({spoilt[t]}) WHERE {key} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
+        for t, key in UNIQUE_KEYS.items()
+    ]
+    missing = [
+        f"SELECT '{t}.{column}', count(*) FROM ({spoilt[t]}) WHERE {column} IS NULL"
+        for t, columns in REQUIRED.items() for column in columns
+    ]
+    sql["constraint_report"] = f"WITH {POST}, {PROFILE}, {CATALOG} " + " UNION ALL ".join(doubled + missing)
     sql["restamped_posts"] = f"""WITH {POST} SELECT id, process_status,
       CASE WHEN process_status = 0 THEN {AS_OF} ELSE update_time END AS update_time FROM post"""
 

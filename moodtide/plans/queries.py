@@ -556,6 +556,26 @@ def constraint_violations(spark, sf_dir):
     )
 
 
+@query
+def constraint_report(spark, sf_dir):
+    """All unique keys and required columns of the four tables, with faults put into each table."""
+
+    def spoilt(df, column, number, by, value):
+        return df.withColumn(column, F.when(F.col(number) % by == 0, F.lit(value)).otherwise(F.col(column)))
+
+    posts = views.posts(spark, sf_dir)
+    scores = spoilt(views.sentiment(posts), "sentiment_label", "raw_data_id", 13, None)
+    profiles = profile.risk_profiles(posts).withColumn("risk_level", F.when(F.col("post_count") != 3, F.col("risk_level")))
+    return constraints.table_violations(
+        {
+            "raw_data": spoilt(spoilt(posts, "source_post_id", "id", 10, "00000000"), "user_id", "id", 11, None),
+            "user_sentiment": spoilt(scores, "raw_data_id", "raw_data_id", 9, -1),
+            "risk_profile": spoilt(profiles, "user_id", "post_count", 5, "twice"),
+            "products": spoilt(views.catalog(spark, sf_dir), "product_name", "product_id", 7, "same name"),
+        }
+    )
+
+
 @query
 def restamped_posts(spark, sf_dir):
     """Update time moved where a post changed."""
