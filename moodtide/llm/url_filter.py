@@ -45,15 +45,33 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return F.coalesce(*found, none)
 
 
+def name_of(host: Column) -> Column:
+    """The host without user and port, and without a dot at its end."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(?::\d*)?$", "")
+
+
+def is_address(host: Column) -> Column:
+    """Whether the host is a number, not a name: such a host has no domain above it."""
+    return host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$|^\[")
+
+
 def suffix_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Column:
+    """The suffix below which names are registered; an address is its own."""
+    host = name_of(host)
     last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(list(long_suffixes)), last_two).otherwise(F.substring_index(host, ".", -1))
+    short = F.when(last_two.isin(list(long_suffixes)), last_two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(is_address(host), host).otherwise(short)
 
 
 def domain_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Column:
     """One label more than the suffix; the host itself where it has no more."""
+    host = name_of(host)
     long = F.substring_index(host, ".", -2).isin(list(long_suffixes))
-    return F.when(long, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return (
+        F.when(is_address(host), host)
+        .when(long, F.substring_index(host, ".", -3))
+        .otherwise(F.substring_index(host, ".", -2))
+    )
 
 
 def strength() -> Column:
@@ -112,8 +130,9 @@ def host_reputation(
     domains = hosts.groupBy("whole", "suffix", "domain").agg(*sums)
     suffixes = domains.groupBy("whole", "suffix").agg(*sums)
     whole = suffixes.groupBy("whole").agg(*sums).select("whole", ((F.col("k") + 0.5) / (F.col("n") + 1)).alias("mean"))
-    by_suffix = shrink(suffixes, whole, "whole")
-    by_domain = shrink(domains, by_suffix, "suffix")
+    # written, as the level below reads each twice
+    by_suffix = stored(shrink(suffixes, whole, "whole"), "suffixes")
+    by_domain = stored(shrink(domains, by_suffix, "suffix"), "domains")
     by_host = shrink(hosts, by_domain, "domain")
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("a") + F.col("b") + 1))
     return by_host.select(
@@ -131,6 +150,7 @@ def judge_urls(
     z: float = 1.645,
     id_col: str = "page_id",
     url_col: str = "url",
+    long_suffixes: Sequence[str] = LONG_SUFFIXES,
 ) -> DataFrame:
     """A verdict per page: page_id, host, path, rule, verdict, lower.
 
@@ -141,7 +161,7 @@ def judge_urls(
     known = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     )
-    reputation = host_reputation(known, outcomes, z)
+    reputation = host_reputation(known, outcomes, z, long_suffixes)
     found = rule_of(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("lower") > max_bad, "block").otherwise("allow")
     return (

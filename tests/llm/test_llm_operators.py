@@ -497,6 +497,16 @@ def test_hosts_paths_and_rules(spark):
     assert url_filter.judge_urls(pages.limit(0), none, queries.URL_RULES).count() == 0
 
 
+def test_domains_of_ports_and_addresses(spark):
+    hosts = ["a.example.org:8080", "example.org.", "u:p@b.example.co.uk:", "10.0.0.1", "10.0.0.1:80", "[::1]:80", "localhost", ""]
+    df = spark.createDataFrame(list(enumerate(hosts)), "i int, host string")
+    rows = df.select("i", url_filter.domain_of(F.col("host")), url_filter.suffix_of(F.col("host"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in rows] == [
+        ("example.org", "org"), ("example.org", "org"), ("example.co.uk", "co.uk"), ("10.0.0.1", "10.0.0.1"),
+        ("10.0.0.1", "10.0.0.1"), ("[::1]", "[::1]"), ("localhost", "localhost"), ("", ""),
+    ]
+
+
 def test_reputation_shrinks_to_the_level_above(spark):
     rows = [(i, host) for i, host in enumerate(["bad.x.net"] * 40 + ["few.x.net"] * 2 + ["new.x.net"] + ["good.y.co.uk"] * 40 + ["fine.x.net"] * 40)]
     pages = spark.createDataFrame(rows, "page_id long, host string")
