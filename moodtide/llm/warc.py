@@ -87,6 +87,15 @@ def build_record(page_id, url, payload: bytes, digest: str, refers_to, date: str
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + RECORD_END
 
 
+def files_at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it.
+
+    Spark's names of S3 (``s3a``, ``s3n``) become Arrow's. Keys and endpoint are then those of the
+    environment, not of Spark's settings.
+    """
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+
+
 def train(samples: list[bytes]) -> bytes | None:
     """A dictionary from the first payloads of the archive; none where they are too few."""
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
@@ -101,7 +110,7 @@ class Archive:
 
     def __init__(self, folder: str, samples: list[bytes]) -> None:
         self.name = f"{folder}/{uuid.uuid4().hex}.warc.zst"
-        files, path = fs.FileSystem.from_uri(self.name)
+        files, path = files_at(self.name)
         self.out = files.open_output_stream(path, compression=None)
         self.records = self.bytes = 0
         dictionary = train(samples)
@@ -187,7 +196,7 @@ def write_archives(
     folder = folder or fresh_dir(spark, "llm-warc")
     if ":/" not in folder:
         folder = f"file://{folder}"
-    files, path = fs.FileSystem.from_uri(folder)
+    files, path = files_at(folder)
     files.create_dir(path, recursive=True)
     rows = with_revisits(pages, min_bytes, id_col, url_col, html_col)
     return stored(rows.mapInArrow(writer(folder, archive_bytes, date), MANIFEST_SCHEMA), "manifest")
@@ -281,7 +290,7 @@ def parse_record(data: bytes) -> dict:
 def read_archive(archive: str, records: int | None, payloads: bool) -> Iterator[dict]:
     """Rows of one archive; a row with an error for each record that fails, and one for the file
     if frames are damaged or their number is not ``records``."""
-    files, path = fs.FileSystem.from_uri(archive)
+    files, path = files_at(archive)
     seen, offset, none = 0, 0, dict.fromkeys(name for name, _ in RECORD_FIELDS)
     with files.open_input_stream(path, compression=None) as stream:
         try:

@@ -409,6 +409,14 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("path", ["s3a://bucket/a/b", "s3n://bucket/a/b", "s3://bucket/a/b", "file:///a/s3a://b"])
+def test_paths_by_their_names_in_spark(path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(warc, "fs", type("fs", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(asked.append)})}))
+    warc.files_at(path)
+    assert asked == ["s3://bucket/a/b" if path.startswith("s3") else path]
+
+
 def test_dictionary_leads_the_archive(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").coalesce(1)
     manifest = warc.write_archives(pages).collect()
