@@ -21,6 +21,10 @@ CLEANING_STEPS = [
 ]
 CLEAN_CONTENT_CHARS = 1000
 
+# --- fixed values: white space, as the inside of a character class ----------
+# Java's \\s knows the ASCII ones only
+SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
 # --- fixed values: post ids --------------------------------------------------
 POST_ID_MIN_DIGITS = 8
 POST_ID_MAX_DIGITS = 11

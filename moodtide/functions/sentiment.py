@@ -19,6 +19,7 @@ from moodtide.fixed_values import (
     NEGATIVE_WORDS,
     NEUTRAL_WORDS,
     POSITIVE_WORDS,
+    SPACES,
 )
 
 DEFAULT_LABELS = {0: LABEL_NEGATIVE, 1: LABEL_NEUTRAL, 2: LABEL_POSITIVE}
@@ -54,7 +55,7 @@ def predicted_label(
 
 def normalised_label(raw_label: Column) -> Column:
     """Trimmed, lower case, without ``_`` and ``-``; null becomes empty."""
-    trimmed = F.regexp_replace(F.coalesce(raw_label, F.lit("")), "^\\s+|\\s+\\z", "")
+    trimmed = F.regexp_replace(F.coalesce(raw_label, F.lit("")), f"^[{SPACES}]+|[{SPACES}]+\\z", "")
     return F.translate(F.lower(trimmed), "_-", "")
 
 

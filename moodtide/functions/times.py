@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from moodtide.fixed_values import (
     HISTORY_TIME_FORMAT,
     HOUR_LABEL_FORMAT,
+    SPACES,
     VISIBLE_TIME_PATTERN,
 )
 
-_CLOCK = "\\s+\\d{1,2}:\\d{1,2}"
+_SPACE = f"[{SPACES}]"
+_CLOCK = f"{_SPACE}+\\d{{1,2}}:\\d{{1,2}}"
 _FULL_DASH = f"^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}{_CLOCK}(:[0-5]?\\d)?\\z"
 _FULL_SLASH = f"^\\d{{4}}/\\d{{1,2}}/\\d{{1,2}}{_CLOCK}\\z"
 _SHORT = f"^\\d{{1,2}}[-/]\\d{{1,2}}{_CLOCK}\\z"
@@ -40,7 +42,7 @@ def history_label(moment: Column) -> Column:
 
 def visible_time(text: Column) -> Column:
     """First date-and-time in free text, null when there is none."""
-    found = F.regexp_extract(text, VISIBLE_TIME_PATTERN, 1)
+    found = F.regexp_extract(text, VISIBLE_TIME_PATTERN.replace("\\s", _SPACE), 1)
     return F.nullif(found, F.lit(""))
 
 
@@ -51,8 +53,8 @@ def parse_post_time(text: Column, as_of: Column) -> Column:
     29 February is refused there, since a bare month and day is checked against a
     non-leap year.
     """
-    trimmed = F.regexp_replace(text, "^\\s+|\\s+\\z", "")
-    part = F.split(trimmed, "[-/:\\s]+")
+    trimmed = F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+\\z", "")
+    part = F.split(trimmed, f"[-/:{SPACES}]+")
 
     def number(position: int) -> Column:
         return F.try_element_at(part, F.lit(position)).try_cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,3 +49,27 @@ def label_mapping(labels: DataFrame) -> DataFrame:
         neutral.alias("neutral_index"),
         negative.alias("negative_index"),
     )
+
+
+@dataclass(frozen=True)
+class Classes:
+    """What the outputs of one model mean: how many, which is positive and negative, their labels."""
+
+    count: int
+    positive: int
+    negative: int
+    labels: dict[int, str]
+
+
+def classes_of(labels: DataFrame, model_id: int) -> Classes:
+    """The classes of one model, by the wording of its labels. A model has a few outputs."""
+    outputs = label_mapping(labels.where(F.col("model_id") == model_id)).orderBy("label_index").collect()
+    if not outputs:
+        raise ValueError(f"no labels of model {model_id}")
+    first = outputs[0]
+    return Classes(
+        len(outputs),
+        first["positive_index"],
+        first["negative_index"],
+        {row["label_index"]: row["label"] for row in outputs},
+    )

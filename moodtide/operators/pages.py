@@ -15,7 +15,6 @@ from moodtide.fixed_values import (
     OLD_ROW_CLASS,
     POST_ID_ATTRIBUTE,
     SOURCE_PLATFORM,
-    STATUS_RAW,
     TIME_FROM_SCRIPT,
     TIME_FROM_TAG,
     TIME_FROM_TEXT,
@@ -26,6 +25,7 @@ from moodtide.fixed_values import (
 from moodtide.functions import page_outline
 from moodtide.functions.ids import is_valid_post_id, post_id_from_href
 from moodtide.functions.times import ntz, parse_post_time
+from moodtide.operators.constraints import post_defaults
 
 PAGES_AT_ONCE = 64
 #: What holds no links though it may look so.
@@ -159,6 +159,7 @@ def landed_rows(
 
     The row id is the numeric post id: it comes from the data, so a rerun gives it again.
     """
+    defaults = post_defaults(as_of)
     return posts.select(
         F.col("source_post_id").cast("long").alias("id"),
         F.lit(platform).alias("source_platform"),
@@ -170,9 +171,7 @@ def landed_rows(
         F.lit(None).cast("double").alias("sentiment_score"),
         F.lit(None).cast("string").alias("sentiment_label"),
         "post_time",
-        ntz(as_of).alias("create_time"),
-        ntz(as_of).alias("update_time"),
-        F.lit(STATUS_RAW).alias("process_status"),
+        *[defaults[c].alias(c) for c in ("create_time", "update_time", "process_status")],
         F.struct("page_id", "pos").alias("seq"),
     )
 

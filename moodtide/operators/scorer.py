@@ -16,6 +16,7 @@ from moodtide.functions.sentiment import (
     predicted_label,
     softmax,
 )
+from moodtide.operators.labels import Classes
 
 # texts of one batch -> one list of logits per text
 Model = Callable[[list[str]], list[list[float]]]
@@ -53,7 +54,7 @@ def score_with_lexicon(
 def score_with_model(
     posts: DataFrame,
     load: Callable[[], Model],
-    classes: int = 3,
+    classes: int | Classes = 3,
     positive: int = 2,
     negative: int = 0,
     labels: dict[int, str] | None = None,
@@ -62,8 +63,12 @@ def score_with_model(
 ) -> DataFrame:
     """Score with a model loaded once per task; it only turns texts into logits.
 
-    Every other column of a row travels with it, so results need no join back.
+    The model gets whole texts; if it reads only so many tokens of each, that is its own contract.
+    ``classes`` is a number of outputs or, with their meaning, the ``Classes`` of its labels. Every other column of a row travels with it, so results need no join back.
     """
+    if isinstance(classes, Classes):
+        positive, negative, labels = classes.positive, classes.negative, classes.labels
+        classes = classes.count
     names = [f"_z{i}" for i in range(classes)]
     schema = T.StructType(
         [*posts.schema.fields, *[T.StructField(name, T.DoubleType()) for name in names]]

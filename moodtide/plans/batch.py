@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from moodtide.functions.times import ntz
 from moodtide.operators import pages as page_ops
 from moodtide.operators import profile, status
+from moodtide.operators.constraints import product_defaults, with_defaults
 from moodtide.operators.retention import cutoff
 from moodtide.operators.upsert import upsert_profiles
 from moodtide.sources.tables import Tables
@@ -86,8 +87,8 @@ def prune(tables: Tables, as_of: dt.datetime) -> int:
 
 
 def reload_catalog(tables: Tables, products: DataFrame) -> int:
-    """Replace the catalogue and report its size."""
-    tables.replace("products", products)
+    """Replace the catalogue, missing numbers at their defaults, and report its size."""
+    tables.replace("products", with_defaults(products, product_defaults()))
     return tables.read("products").count()
 
 

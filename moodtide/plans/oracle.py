@@ -324,6 +324,24 @@ def build() -> dict[str, str]:
     sql["lexicon_sentiment"] = DOC_SENTIMENT
     sql["model_sentiment"] = DOC_SENTIMENT
 
+    sql["hashed_sentiment"] = f"""WITH {LABELS}, chosen AS (
+        SELECT * FROM ({sql['label_mapping']}) WHERE model_id = (SELECT min(model_id) FROM classed WHERE num_labels = 3)
+      ), meaning AS (SELECT any_value(positive_index) AS pi, any_value(negative_index) AS ni,
+        list(label ORDER BY label_index) AS names FROM chosen),
+      words AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[ \\r\\n\\t]+'),
+        lambda w: w <> '')) AS word FROM documents),
+      hashed AS (SELECT doc_id, CAST(concat('0x', substr(md5(word), 1, 8)) AS BIGINT) % 1024 AS b FROM words),
+      sums AS (SELECT doc_id, count(*) AS n, sum(CAST((b * 3) % 17 - 8 AS BIGINT)) AS s0,
+        sum(CAST((b * 5 + 5) % 17 - 8 AS BIGINT)) AS s1, sum(CAST((b * 7 + 10) % 17 - 8 AS BIGINT)) AS s2
+        FROM hashed GROUP BY doc_id),
+      z AS (SELECT doc_id, list_transform([coalesce(s0, 0), coalesce(s1, 0), coalesce(s2, 0)],
+        lambda s: CAST(s AS DOUBLE) / 16 / greatest(coalesce(n, 0), 1) * 8) AS z
+        FROM documents LEFT JOIN sums USING (doc_id)),
+      e AS (SELECT doc_id, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM z),
+      p AS (SELECT doc_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e)
+      SELECT doc_id, round({polarised('p[pi + 1] - p[ni + 1]')}, 6) AS score,
+        names[list_position(p, list_max(p))] AS sentiment_label FROM p, meaning"""
+
     sql["pending_posts"] = (
         f"WITH {POST} SELECT id, coalesce(content, '') AS content FROM post WHERE process_status = 0"
     )
@@ -413,6 +431,10 @@ def build() -> dict[str, str]:
     sql["catalog_reload"] = (
         f"WITH {CATALOG} SELECT risk_rating, count(*) AS products FROM catalog GROUP BY 1"
     )
+    sql["table_inventory"] = f"""WITH {POST}, {CATALOG} SELECT * FROM (VALUES ('raw_data', 13, 0),
+        ('user_sentiment', 7, 0), ('risk_profile', 6, 0), ('posts_scored', 4, 0)) t(name, columns, rows)
+      UNION ALL SELECT 'posts_clean', 3, count(*) FROM post WHERE process_status = 0
+      UNION ALL SELECT 'products', 9, count(*) FROM catalog"""
     sql["catalog_defaults"] = f"""WITH {CATALOG} SELECT product_id,
       CASE WHEN product_id % 5 = 0 THEN 0.0 ELSE round(max_drawdown, 9) END AS max_drawdown,
       CASE WHEN product_id % 11 = 0 THEN 0.0 ELSE sharpe_ratio END AS sharpe_ratio FROM catalog"""
@@ -562,6 +584,7 @@ def build() -> dict[str, str]:
     sql["stream_ingest"] = f"""WITH {PAGE_POSTS} SELECT CAST(source_post_id AS BIGINT) AS id,
       source_post_id, user_id, content, post_time, {AS_OF} AS create_time,
       CAST(0 AS INTEGER) AS process_status FROM page_post"""
+    sql["stream_counters"] = sql["ingest_counters"]
     sql["stream_correction"] = f"""WITH {POST}, moved AS (
         SELECT sentiment_score, CASE WHEN id % 7 = 0 THEN post_time + INTERVAL 2 HOUR ELSE post_time END
           AS post_time FROM post),

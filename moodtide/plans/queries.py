@@ -5,6 +5,9 @@ Means and scores are rounded once, to nine places, for comparison between engine
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +32,11 @@ from moodtide.operators import (
     status,
     trend,
     upsert,
+    word_model,
 )
+from moodtide.schemas import TABLES
 from moodtide.sources import views
-from moodtide.sources.tables import Tables
+from moodtide.sources.tables import LAYOUT, Tables
 from moodtide.sources.views import AS_OF
 from moodtide.streaming import jobs, rounds
 
@@ -170,6 +175,26 @@ def model_sentiment(spark, sf_dir):
     return scored.select("doc_id", r("sentiment_score", 6).alias("score"), "sentiment_label")
 
 
+WORD_BUCKETS = 1024
+
+
+def _word_model():
+    """Weights by a rule, in sixteenths, so that sums of them are exact."""
+    bucket, output = np.arange(WORD_BUCKETS)[:, None], np.arange(3)[None, :]
+    return word_model.HashedWords(((bucket * (2 * output + 3) + 5 * output) % 17 - 8) / 16, scale=8.0)
+
+
+@query
+def hashed_sentiment(spark, sf_dir):
+    """A linear model over hashed words; its first label list of three says what its outputs mean."""
+    named = views.model_labels(spark, sf_dir)
+    model_id = named.where(F.col("num_labels") == 3).agg(F.min("model_id")).first()[0]
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    classes = labels.classes_of(named, model_id)
+    scored = scorer.score_with_model(docs, _word_model, classes, text="text")
+    return scored.select("doc_id", r("sentiment_score", 6).alias("score"), "sentiment_label")
+
+
 # --- scans, states, filters ------------------------------------------------------------
 
 
@@ -404,6 +429,24 @@ def catalog_reload(spark, sf_dir):
     return stored.groupBy("risk_rating").agg(F.count(F.lit(1)).alias("products"))
 
 
+@query
+def table_inventory(spark, sf_dir):
+    """Columns and rows of all tables, with cleaned posts and the catalogue stored and the others absent."""
+    tables = Tables(spark, session.fresh_dir(spark, "inventory"))
+    posts = views.posts(spark, sf_dir)
+    tables.append("posts_clean", status.clean_batch(status.pending_by_status(posts), AS_OF), 0)
+    tables.replace("products", views.catalog(spark, sf_dir))
+    counted = []
+    for name in ("raw_data", "user_sentiment", "risk_profile", "products", "posts_clean", "posts_scored"):
+        if name in LAYOUT:
+            rows = tables.stored(name)
+        else:
+            rows = tables.appended(name) if name.startswith("posts_") else tables.read(name)
+        columns = F.lit(len(TABLES[name].fields)).alias("columns")
+        counted.append(rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), columns, "rows"))
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query
 def catalog_defaults(spark, sf_dir):
     key = F.col("product_id")
@@ -720,6 +763,16 @@ def stream_ingest(spark, sf_dir):
     )
 
 
+@query
+def stream_counters(spark, sf_dir):
+    """The counters of the same ingest, micro-batch by micro-batch."""
+    root = session.fresh_dir(spark, "stream-counters")
+    tables = Tables(spark, root)
+    landed = _landed_stream(spark, views.list_pages(spark, sf_dir), "page_id", files=3)
+    jobs.ingest_stream(landed, tables, AS_OF, f"{root}-checkpoint")
+    return jobs.stream_counters(tables)
+
+
 @query
 def stream_correction(spark, sf_dir):
     """Every seventh post turns out to be two hours younger."""

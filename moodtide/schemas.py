@@ -100,6 +100,14 @@ USER_STATS = T.StructType(
     ]
 )
 
+INGEST_COUNTERS = T.StructType(
+    [
+        T.StructField("pages", T.LongType()),
+        T.StructField("pages_with_posts", T.LongType()),
+        T.StructField("upsert_rows", T.LongType()),
+    ]
+)
+
 
 TABLES = {
     "raw_data": RAW_DATA,
@@ -110,5 +118,6 @@ TABLES = {
     "posts_scored": POSTS_SCORED,
     "hourly_sums": HOURLY_SUMS,
     "user_stats_changed": USER_STATS,
+    "ingest_counters": INGEST_COUNTERS,
     "pages": PAGES,
 }

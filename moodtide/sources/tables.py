@@ -5,7 +5,7 @@ Three ways to write, by how much of a table a batch touches:
 * ``append`` for the stage tables (cleaned, scored): the batch alone is written, below its own
   batch directory, so replaying a batch replaces it instead of adding it twice.
 * ``merge`` for posts and their sentiment: only the partitions that hold a matching key or
-  receive a new row are rewritten. Posts lie by the day they landed, sentiment by id range,
+  receive a new row are rewritten, and key filters say which may hold one. Posts lie by the day they landed, sentiment by id range,
   both of which a row never leaves and new rows share.
 * ``replace`` for tables rebuilt as a whole (profiles, catalogue): a new snapshot directory;
   readers take the newest finished one.
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from moodtide.operators.upsert import one_per_key, upsert
 from moodtide.schemas import TABLES
+from moodtide.sources.key_filters import key_filters, may_hold
 
 IDS_PER_RANGE = 10_000_000
 
@@ -79,6 +80,9 @@ class Tables:
             return self._empty(name)
         return self.spark.read.schema(TABLES[name]).parquet(*batches)
 
+    def has_batch(self, name: str, batch: int) -> bool:
+        return self._exists(f"{self.path(name)}/batch={batch}/_SUCCESS")
+
     def batch(self, name: str, batch: int) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path(name)}/batch={batch}")
 
@@ -182,7 +186,8 @@ class Tables:
                 if key in rule:  # the key says where its row lies
                     hit = new.select(part)
                 else:
-                    hit = stored.select(key, column).join(new.select(key), key, "left_semi").select(column)
+                    opened = stored.where(F.col(column).isin(self.may_hold(name, new, key)))
+                    hit = opened.select(key, column).join(new.select(key), key, "left_semi").select(column)
                 # one row per partition of the table, which bounds it: days of retention, or
                 # ten thousand ranges for a hundred billion ids
                 parts = F.broadcast(hit.unionByName(new.select(part)).distinct())
@@ -191,18 +196,40 @@ class Tables:
                 touched = self._empty(name)
             merged = upsert(touched, new, key, refresh)
             merged.withColumn(column, part).write.mode("overwrite").parquet(f"{aside}/merged")
+        merged = self.spark.read.parquet(f"{aside}/merged")
+        if key not in rule:  # before the rows, so that a filter knows all keys of its partition
+            self._write_partitions(f"{self.path(name)}-keys", key_filters(merged, key, column), column)
+        self._write_partitions(self.path(name), merged, column)
+        fs, marker = self._fs(f"{aside}/done")
+        fs.createNewFile(marker)
+        self._delete(f"{aside}/merged")
+        self._delete(f"{aside}/new")
+
+    def _write_partitions(self, path: str, df: DataFrame, column: str) -> None:
         (
-            self.spark.read.parquet(f"{aside}/merged")
-            .repartition(column)
+            df.repartition(column)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(column)
-            .parquet(self.path(name))
+            .parquet(path)
         )
-        fs, marker = self._fs(f"{aside}/done")
-        fs.createNewFile(marker)
-        self._delete(f"{aside}/merged")
-        self._delete(f"{aside}/new")
+
+    def may_hold(self, name: str, keys: DataFrame, key: str) -> list:
+        """The partitions that may hold any of ``keys``, by their stored key filters; a few days.
+
+        Partitions that have no filter yet get one first.
+        """
+        column, kind, _ = LAYOUT[name]
+        path = f"{self.path(name)}-keys"
+        bare = set(self._children(self.path(name), f"{column}=")) - set(self._children(path, f"{column}="))
+        if bare:
+            values = [folder.removeprefix(f"{column}=") for folder in sorted(bare)]
+            rows = self._partitioned(name).where(F.col(column).cast("string").isin(values))
+            self._write_partitions(path, key_filters(rows, key, column), column)
+        if not self._children(path, f"{column}="):
+            return []  # no rows are left
+        filters = self.spark.read.parquet(path).withColumn(column, F.col(column).cast(kind))
+        return [row[column] for row in may_hold(filters, keys, key, column).collect()]
 
     def drop_posts(self, before: dt.datetime, stages: tuple[str, ...] = ()) -> int:
         """Retention: delete posts created before a time, and their rows in stage tables.
@@ -235,6 +262,7 @@ class Tables:
         for name in self._children(self.path("raw_data"), "create_date="):
             if name.removeprefix("create_date=") < day:
                 self._delete(f"{self.path('raw_data')}/{name}")
+                self._delete(f"{self.path('raw_data')}-keys/{name}")
         left = self.spark.read.schema(TABLES["raw_data"]).parquet(f"{aside}/kept")
         if left.isEmpty():
             self._delete(f"{self.path('raw_data')}/create_date={day}")

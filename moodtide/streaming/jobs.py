@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,17 +104,44 @@ def dedup_stream(
 
 
 def ingest_stream(pages: DataFrame, tables: Tables, as_of: dt.datetime, checkpoint: str) -> None:
-    """Upsert the posts of every micro-batch of pages; the batch id makes replays harmless."""
+    """Upsert the posts of every micro-batch of pages; the batch id makes replays harmless.
+
+    Pages are counted while they are parsed. The counters of a micro-batch are written after its
+    parsed rows; a replay that finds them merges those rows and counts nothing again.
+    """
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        posts = page_ops.landed_rows(page_ops.page_posts(batch, as_of), as_of)
+        if not tables.has_batch("ingest_counters", batch_id):
+            seen = Observation("pages")
+            watched = batch.observe(seen, F.count(F.lit(1)).alias("pages"))
+            posts = page_ops.landed_rows(page_ops.page_posts(watched, as_of), as_of)
+            tables.append("raw_data-landed", posts, batch_id)
+            counted = landed(batch_id).agg(
+                F.lit(seen.get["pages"]).cast("long").alias("pages"),
+                F.count_distinct("seq.page_id").alias("pages_with_posts"),
+                F.count(F.lit(1)).alias("upsert_rows"),
+            )
+            tables.append("ingest_counters", counted, batch_id)
         tables.merge(
-            "raw_data", posts, "source_post_id", ["post_time", "update_time"], "seq", batch_id
+            "raw_data", landed(batch_id), "source_post_id", ["post_time", "update_time"], "seq", batch_id
         )
 
+    def landed(batch_id: int) -> DataFrame:
+        return tables.spark.read.parquet(f"{tables.path('raw_data-landed')}/batch={batch_id}")
+
     run_batches(pages, land, checkpoint)
 
 
+def stream_counters(tables: Tables) -> DataFrame:
+    """The counters of all micro-batches, which add up since a page lands once, and the distinct posts."""
+    landed = tables.spark.read.parquet(tables.path("raw_data-landed"))
+    posts = landed.agg(F.count_distinct("source_post_id")).scalar()
+    return tables.appended("ingest_counters").agg(
+        *[F.sum(c).alias(c) for c in ("pages", "pages_with_posts", "upsert_rows")],
+        posts.alias("distinct_posts"),
+    )
+
+
 def score_stats(scored: DataFrame) -> DataFrame:
     """Count, mean and sum of squared deviations per user."""
     return (

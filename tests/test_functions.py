@@ -81,6 +81,8 @@ def test_parse_post_time(evaluate):
         "2026-03-20 14:30:15": dt.datetime(2026, 3, 20, 14, 30, 15),
         "03-20 14:30": dt.datetime(2024, 3, 20, 14, 30),
         "03/20 14:30": dt.datetime(2024, 3, 20, 14, 30),
+        "\u3000\x1c2026-3-2\u00a0\u20094:05\u3000": dt.datetime(2026, 3, 2, 4, 5),
+        "03/20\u300014:30": dt.datetime(2024, 3, 20, 14, 30),
         " 2026-3-2 4:05 ": dt.datetime(2026, 3, 2, 4, 5),
         "2026/03/20 14:30:15": as_of,
         "02-29 10:00": as_of,
@@ -102,6 +104,7 @@ def test_visible_time(evaluate):
         "on 2026/03/20 14:30 here": "2026/03/20 14:30",
         "2026-03-20  14:30:15!": "2026-03-20  14:30:15",
         "a 03-20 14:30 b": "03-20 14:30",
+        "a 03-20\u300014:30 b": "03-20\u300014:30",
         "3-20 14:30": None,
         "nothing": None,
     }

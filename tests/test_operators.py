@@ -1,13 +1,15 @@
 import datetime as dt
+import hashlib
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from moodtide.operators import (
     catalog, constraints, dashboard, history, labels, profile, recommend, retention, scorer, status,
-    trend, upsert,
+    trend, upsert, word_model,
 )
 
 T0 = dt.datetime(2024, 1, 30, 23, 0)
@@ -343,3 +345,32 @@ def test_model_and_word_lists_agree(spark):
     assert [r[0::2] for r in a] == [r[0::2] for r in b]
     assert [r[1] for r in a] == pytest.approx([r[1] for r in b])
     assert all(0 <= r[1] <= 1 for r in a)
+
+
+def test_hashed_words_count_each_word():
+    weights = np.arange(14.0).reshape(7, 2)
+    texts = ["a b  a\n\tlong", "", None, " ", "b " * 5000]
+    model = word_model.HashedWords(weights, scale=2.0)
+
+    def slow(words):
+        chosen = [weights[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 7] for w in words]
+        return list(2.0 * sum(chosen) / len(chosen)) if chosen else [0.0, 0.0]
+
+    assert model(texts) == [slow((t or "").split()) for t in texts]
+    short = word_model.HashedWords(weights, scale=2.0, max_tokens=2)
+    assert short(texts) == [slow((t or "").split()[:2]) for t in texts] and model([]) == []
+
+
+def test_labels_reach_the_scorer(spark):
+    named = spark.createDataFrame(
+        [(7, 3, 0, "POSITIVE"), (7, 3, 1, "neg"), (7, 3, 2, "neutral"), (8, 2, 0, "LABEL_0"), (8, 2, 1, "LABEL_1")],
+        "model_id int, num_labels int, label_index int, raw_label string",
+    )
+    swapped = labels.classes_of(named, 7)
+    assert (swapped.count, swapped.positive) == (3, 0)
+    assert labels.classes_of(named, 8) == labels.Classes(2, 1, 0, {0: "悲观", 1: "乐观"})
+    with pytest.raises(ValueError):
+        labels.classes_of(named, 9)
+    posts = spark.createDataFrame([(1, "x")], "id int, clean_content string")
+    scored = scorer.score_with_model(posts, lambda: lambda texts: [[3.0, 0.0, 0.0]] * len(texts), swapped).first()
+    assert scored["sentiment_label"] == "乐观" and scored["sentiment_score"] > 0.9

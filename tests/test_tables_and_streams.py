@@ -7,7 +7,7 @@ from moodtide.operators import profile, scorer, trend
 from moodtide.plans import batch
 from moodtide.schemas import PAGES, TABLES
 from moodtide.session import fresh_dir, shared_dir
-from moodtide.sources import views
+from moodtide.sources import key_filters, views
 from moodtide.sources.tables import Tables
 from moodtide.streaming import jobs
 
@@ -270,3 +270,77 @@ def test_a_pruned_post_starts_over(spark, tables):
     crawl("now bad bad", later, 1)
     assert [r["clean_content"] for r in tables.appended("posts_clean").collect()] == ["now bad bad"]
     assert [r["clean_content"] for r in tables.stored("user_sentiment").collect()] == ["now bad bad"]
+
+
+def test_key_filters_miss_no_key_and_few_strangers(spark):
+    stored = spark.range(60_000).select(
+        F.concat(F.lit("9"), F.col("id") * 2).alias("k"), F.pmod("id", F.lit(3)).alias("day")
+    ).unionByName(spark.createDataFrame([(None, 1)], "k string, day long"))
+    filters = key_filters.key_filters(stored, "k", "day")
+    assert filters.count() == 9  # 20,000 keys a day, three blocks each
+    for day in (0, 1, 2):
+        own = stored.where(F.col("day") == day)
+        assert day in {r["day"] for r in key_filters.may_hold(filters, own, "k", "day").collect()}
+    ranges = filters.select("day", "low", "high", "blocks").distinct().count()
+    assert ranges == 3
+
+    def met(keys):
+        alone = keys.withColumn("n", F.monotonically_increasing_id())
+        return sum(
+            key_filters.may_hold(filters, alone.where(F.pmod("n", F.lit(50)) == i), "k", "day").count() for i in range(2)
+        )
+
+    assert met(spark.range(100).select(F.concat(F.lit("9"), F.col("id") * 2 + 1).alias("k"))) <= 2
+    assert met(spark.createDataFrame([(None,), ("1",), ("8" * 20,)], "k string")) == 0
+
+
+def test_all_stored_keys_are_found_one_by_one(spark):
+    stored = spark.range(3_000).select((F.col("id") * 7).alias("k"), F.lit(0).alias("day"))
+    filters = key_filters.key_filters(stored, "k", "day")
+    bits = [key_filters._is_set(name, key_filters._position("k", i)) for i, name in enumerate(key_filters.BITMAPS)]
+    asked = stored.select("k").crossJoin(filters.drop("day"))
+    assert asked.where(bits[0] & bits[1] & bits[2] & bits[3]).count() == 3_000
+
+
+def test_merge_opens_only_days_that_may_hold_a_key(spark, tables):
+    day = dt.timedelta(days=1)
+    refresh = ["post_time", "update_time"]
+
+    def merge(batch_id, posts):
+        tables.merge("raw_data", posts, "source_post_id", refresh, "seq", batch_id)
+
+    for i in range(4):
+        merge(i, landed(spark, *[(str(10_000_000 + 100 * i + n), "x", T0, T0 + i * day, 0) for n in range(50)]))
+    first = landed(spark, ("10000007", "again", T0 + day, T0 + 30 * day, 0))
+    assert tables.may_hold("raw_data", first, "source_post_id") == [T0.date()]
+    unknown = landed(spark, ("10000075", "x", T0, T0, 0), ("99", "x", T0, T0, 0))
+    assert tables.may_hold("raw_data", unknown, "source_post_id") == []
+    merge(4, first)  # a month later
+    assert tables.posts().count() == 200
+    assert tables.posts().where("source_post_id = '10000007'").first()["post_time"] == T0 + day
+    tables._delete(f"{tables.path('raw_data')}-keys")  # a table of before the filters
+    merge(5, landed(spark, ("10000107", "again", T0 + day, T0 + 31 * day, 0)))
+    assert tables.posts().count() == 200
+    assert len(tables._children(f"{tables.path('raw_data')}-keys", "create_date=")) == 4
+
+
+def test_counters_of_a_replayed_stream(spark, tables):
+    as_of = dt.datetime(2024, 5, 5)
+    pages = views.list_pages(spark, "/root/testdata/sf0.01").where("page_id % 25 = 0")
+    path = fresh_dir(spark, "pages")
+    pages.repartition(2).write.parquet(path)
+
+    def run(name):
+        stream = jobs.file_stream(spark, path, pages.schema, per_batch=1)
+        jobs.ingest_stream(stream, tables, as_of, f"{tables.root}-{name}")
+        return tuple(jobs.stream_counters(tables).first())
+
+    counted = run("a")
+    assert counted[0] == pages.count() and counted[2] >= counted[3] == tables.posts().count() > 0
+    assert run("b") == counted  # the same batch numbers once more
+
+
+def test_reloaded_catalogue_has_defaults(spark, tables):
+    products = views.catalog(spark, EVENTS).withColumn("sharpe_ratio", F.lit(None).cast("double"))
+    batch.reload_catalog(tables, products)
+    assert tables.read("products").where("sharpe_ratio = 0.0").count() == products.count()
