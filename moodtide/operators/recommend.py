@@ -1,20 +1,20 @@
 """Best products for every user at once.
 
-A product's score is a straight line in the user's volatility, so the range of volatilities
-is cut into buckets and, per risk level and bucket, only the products that can be among the
-best anywhere in the bucket are kept. That table depends on the catalogue alone. A user then
-looks up one bucket and ranks the few products in it, without any shuffle of users.
+A product's score is a straight line in the user's volatility. Per risk level the range of
+volatilities is divided, and divided again, until only a few lines can be among the best anywhere in
+a part. Those parts and their products are a table that depends on the catalogue alone. A user looks up
+the one part its volatility lies in and ranks the few products there, without any shuffle of users.
 
-The lookup key is w = v / (1 + v), which maps every volatility v >= 0 into [0, 1). Scaled by
+The lookup goes by w = v / (1 + v), which maps every volatility v >= 0 into [0, 1). Scaled by
 (1 - w), a score a - b*v becomes a - (a + b)*w: still a line, with the same order among the
-products of one user. Lines are compared at both ends of a bucket, which is exact.
+products of one user. Lines are compared at both ends of a part, which is exact.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Observation
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,27 +33,16 @@ from moodtide.session import fresh_dir
 NUMBERS = ["annual_yield", "sharpe_ratio", "max_drawdown"]
 SHOWN = ["product_name", "product_type", "tags", "purchase_url"]
 
-FIRST_BUCKETS = 64
+FIRST_BUCKETS = 8
 SPLIT = 8
-MAX_BUCKETS = 1 << 20
-PER_BUCKET = 128
-PACK_LIMIT = 1024
-BROADCAST_BYTES = 32 << 20
-SALTS = 32
+LINES_AT_ONCE = 1_000_000
+FEW = 8
+NARROWEST = 2.0**-40
+LOOKUP = 256
 BAR_GROUPS = 16
 ROUNDING = 1e-9
 
 
-@dataclass(frozen=True)
-class Candidates:
-    """Products by (risk_rating, bucket), with what was measured about the table."""
-
-    table: DataFrame
-    buckets: int
-    size_bytes: int
-    largest_bucket: int
-
-
 def _base(annual_yield: Column, sharpe: Column) -> Column:
     """The part of a score that does not depend on the user."""
     return annual_yield * YIELD_WEIGHT + sharpe * SHARPE_SCALE * SHARPE_WEIGHT
@@ -90,19 +79,47 @@ def _refine(candidates: DataFrame, buckets: int, split: int, k: int) -> DataFram
     )
 
 
-def build_candidates(
+def divided(a: np.ndarray, b: np.ndarray, low: float, high: float, k: int, few: int = FEW) -> list:
+    """(low, high, line numbers) of the parts of a range: all lines that can be among the ``k`` best there.
+
+    A part with more than ``few`` such lines is halved, unless the halves would hold nearly all of
+    them again: then they lie too close for any division.
+    """
+    slack = (np.abs(a) + np.abs(b)) * ROUNDING
+
+    def best(lines: np.ndarray, low: float, high: float) -> np.ndarray:
+        if len(lines) <= k:
+            return lines
+        ends = np.stack([a[lines] - (a[lines] + b[lines]) * w for w in (low, high)])
+        bar = np.partition(ends.min(0) - slack[lines], len(lines) - k)[len(lines) - k]
+        return lines[ends.max(0) + slack[lines] >= bar]
+
+    done, open_parts = [], [(low, high, best(np.arange(len(a)), low, high))]
+    while open_parts:
+        low, high, lines = open_parts.pop()
+        middle = (low + high) / 2
+        left, right = best(lines, low, middle), best(lines, middle, high)
+        if len(lines) <= few or high - low <= NARROWEST or len(left) + len(right) > 1.75 * len(lines):
+            done.append((low, high, lines))
+        else:
+            open_parts += [(middle, high, right), (low, middle, left)]
+    return done
+
+
+def build_cells(
     products: DataFrame,
     k: int = TOP_PRODUCTS,
-    per_bucket: int = PER_BUCKET,
     first_buckets: int = FIRST_BUCKETS,
-) -> Candidates:
-    """The candidate table of a catalogue, written to the shared folder.
+    path: str | None = None,
+    lines_at_once: int = LINES_AT_ONCE,
+) -> DataFrame:
+    """(risk_level, _bucket, low, high, _options): the products to rank for a volatility, stored in ``path``.
 
     The first cut needs no shuffle of the catalogue: the bars are a hash aggregate, and what
     falls below them is dropped where it was read. Products on the very same line tie for
-    every user, so the ``k`` lowest ids of them stand for all. Buckets are split further until
-    none holds more than ``per_bucket`` products, or splitting no longer helps. Larger buckets
-    then stay whole: slower, still exact.
+    every user, so the ``k`` lowest ids of them stand for all. What is left of a level in one of the
+    first buckets is divided by one task; buckets of over ``lines_at_once`` lines are split before.
+    ``first_buckets`` is a power of two. A part lies under each of the ``LOOKUP`` buckets it reaches into.
     """
     spark = products.sparkSession
     line = (_base(F.col("annual_yield"), F.col("sharpe_ratio")), "max_drawdown")
@@ -114,64 +131,65 @@ def build_candidates(
     )
     buckets, split, before = 1, first_buckets, None
     while True:
-        path = fresh_dir(spark, "candidates")
         kept = _refine(table, buckets, split, k)
-        kept = kept.withColumn("_copy", F.row_number().over(alike)).where(F.col("_copy") <= k)
-        kept.drop("_copy").write.parquet(path)
-        table, buckets, split = spark.read.parquet(path), buckets * split, SPLIT
-        largest = (
-            table.groupBy("risk_rating", "bucket").count().agg(F.max("count")).first()[0] or 0
-        )
-        if largest <= per_bucket or buckets * split > MAX_BUCKETS:
-            break
-        if before is not None and largest > 0.75 * before:
+        kept = kept.withColumn("_copy", F.row_number().over(alike)).where(F.col("_copy") <= k).drop("_copy")
+        aside = fresh_dir(spark, "lines")
+        kept.write.parquet(aside)
+        table, buckets, split = spark.read.parquet(aside), buckets * split, SPLIT
+        largest = table.groupBy("risk_rating", "bucket").count().agg(F.max("count")).first()[0] or 0
+        if largest <= lines_at_once or (before is not None and largest > 0.75 * before):
             break
         before = largest
-    path = fresh_dir(spark, "candidates")
-    full = table.join(products.select("product_id", *SHOWN), "product_id")
-    size = Observation("candidates")
-    row_bytes = F.octet_length(F.to_json(F.struct(*full.columns)))
-    full.observe(size, F.sum(row_bytes).alias("bytes")).write.parquet(path)
-    return Candidates(
-        spark.read.parquet(path), buckets, size.get["bytes"] or 0, largest
-    )
-
 
-def volatility_bucket(volatility: Column, buckets: int) -> Column:
-    place = F.floor(volatility / (volatility + 1) * buckets).cast("int")
-    return F.greatest(F.lit(0), F.least(F.lit(buckets - 1), place))
+    def divide(key: tuple, lines: pd.DataFrame) -> pd.DataFrame:
+        level, bucket = key
+        lines = lines.sort_values("product_id")
+        parts = divided(
+            lines["_a"].to_numpy(), lines["_b"].to_numpy(), bucket / buckets, (bucket + 1) / buckets, k
+        )
+        ids = lines["product_id"].to_numpy()
+        found = [pd.DataFrame({"low": low, "high": high, "product_id": ids[chosen]}) for low, high, chosen in parts]
+        return pd.concat(found).assign(risk_level=level)
+
+    cells = (
+        table.select(
+            "risk_rating",
+            "bucket",
+            "product_id",
+            line[0].alias("_a"),
+            (F.col("max_drawdown") * DRAWDOWN_WEIGHT).alias("_b"),
+        )
+        .groupBy("risk_rating", "bucket")
+        .applyInPandas(divide, "low double, high double, product_id long, risk_level string")
+    )
+    first, end = F.floor(F.col("low") * LOOKUP), F.ceil(F.col("high") * LOOKUP)
+    reached = F.sequence(first.cast("int"), (end - 1).cast("int"))
+    path = path or fresh_dir(spark, "cells")
+    (
+        cells.join(products.select("product_id", *NUMBERS, *SHOWN), "product_id")
+        .groupBy("risk_level", "low", "high")
+        .agg(F.collect_list(F.struct("product_id", *NUMBERS, *SHOWN)).alias("_options"))
+        .select("risk_level", F.explode(reached).alias("_bucket"), "low", "high", "_options")
+        # as large on disk as in memory, so that Spark broadcasts it by its true size or not at all
+        .write.option("compression", "uncompressed")
+        .option("parquet.enable.dictionary", "false")
+        .mode("overwrite")
+        .parquet(path)
+    )
+    return spark.read.parquet(path)
 
 
-def best_products(
-    profiles: DataFrame,
-    candidates: Candidates,
-    k: int = TOP_PRODUCTS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    pack_limit: int = PACK_LIMIT,
-) -> DataFrame:
-    """(user, rank) rows with the raw score; ties go to the lower product id.
-
-    A candidate table measured at up to ``broadcast_bytes`` is broadcast, a row per bucket.
-    Beyond that both sides are shuffled by level and bucket, with salt against hot buckets,
-    and beyond ``pack_limit`` products in a bucket the products stay rows of their own.
-    """
-    keys = ["risk_level", "_bucket"]
-    table = candidates.table.withColumnsRenamed({"risk_rating": "risk_level", "bucket": "_bucket"})
-    users = profiles.withColumn(
-        "_bucket", volatility_bucket(F.col("volatility"), candidates.buckets)
+def best_products(profiles: DataFrame, cells: DataFrame, k: int = TOP_PRODUCTS) -> DataFrame:
+    """(user, rank) rows with the raw score; ties go to the lower product id."""
+    w = F.col("volatility") / (F.col("volatility") + 1)
+    users = profiles.withColumn("_w", F.greatest(F.lit(0.0), F.least(w, F.lit(1 - 2.0**-53)))).withColumn(
+        "_bucket", F.floor(F.col("_w") * LOOKUP).cast("int")
     )
-    small = candidates.size_bytes <= broadcast_bytes
-    if not small:
-        users = users.withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(SALTS)).cast("int"))
-        keys.append("_salt")
-    if not small and candidates.largest_bucket > pack_limit:
-        pairs = users.join(_salted(table).hint("merge"), keys)
-        return _rank_rows(pairs, profiles.columns, k)
-    packed = table.groupBy("risk_level", "_bucket").agg(
-        F.collect_list(F.struct("product_id", *NUMBERS, *SHOWN)).alias("_options")
+    inside = (F.col("_w") >= F.col("low")) & (F.col("_w") < F.col("high"))
+    met = users.join(
+        cells.withColumnsRenamed({"risk_level": "_level", "_bucket": "_place"}),
+        (F.col("risk_level") == F.col("_level")) & (F.col("_bucket") == F.col("_place")) & inside,
     )
-    # a compressed table looks smaller than it is, so the join is not left to its file size
-    packed = F.broadcast(packed) if small else _salted(packed).hint("merge")
 
     def scored(option: Column) -> Column:
         score = risk.product_score(
@@ -187,9 +205,7 @@ def best_products(
         )
 
     best = F.slice(F.sort_array(F.transform("_options", scored)), 1, k)
-    ranked = users.join(packed, keys).select(
-        *profiles.columns, F.posexplode(best).alias("_pos", "_best")
-    )
+    ranked = met.select(*profiles.columns, F.posexplode(best).alias("_pos", "_best"))
     return ranked.select(
         *profiles.columns,
         (F.col("_pos") + 1).alias("rank"),
@@ -198,34 +214,6 @@ def best_products(
     )
 
 
-def _salted(side: DataFrame) -> DataFrame:
-    return side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _rank_rows(pairs: DataFrame, user_columns: list[str], k: int) -> DataFrame:
-    score = risk.product_score(
-        F.col("annual_yield"), F.col("sharpe_ratio"), F.col("max_drawdown"), F.col("volatility")
-    )
-    best_first = W.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("product_id"))
-    return (
-        pairs.withColumn("score", score)
-        .withColumn("rank", F.row_number().over(best_first))
-        .where(F.col("rank") <= k)
-        .select(*user_columns, "rank", "product_id", *NUMBERS, *SHOWN, "score")
-    )
-
-
-def best_products_by_join(
-    profiles: DataFrame, products: DataFrame, k: int = TOP_PRODUCTS
-) -> DataFrame:
-    """The same answer from the plain join of users with all products of their level.
-
-    Kept as the measure for tests and the bench; its work is users times products.
-    """
-    pairs = profiles.join(products.withColumnRenamed("risk_rating", "risk_level"), "risk_level")
-    return _rank_rows(pairs, profiles.columns, k)
-
-
 def recommendations(best: DataFrame) -> DataFrame:
     """The answer as shown: rounded score, reason, tags."""
     code = risk.reason_code(F.col("avg_sentiment"), F.col("volatility"), F.col("annual_yield"))

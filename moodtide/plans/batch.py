@@ -16,6 +16,7 @@ from moodtide.functions.times import ntz
 from moodtide.operators import pages as page_ops
 from moodtide.operators import profile, status
 from moodtide.operators.constraints import product_defaults, with_defaults
+from moodtide.operators.recommend import build_cells
 from moodtide.operators.retention import cutoff
 from moodtide.operators.upsert import upsert_profiles
 from moodtide.sources.tables import Tables
@@ -87,8 +88,12 @@ def prune(tables: Tables, as_of: dt.datetime) -> int:
 
 
 def reload_catalog(tables: Tables, products: DataFrame) -> int:
-    """Replace the catalogue, missing numbers at their defaults, and report its size."""
-    tables.replace("products", with_defaults(products, product_defaults()))
+    """Replace the catalogue, missing numbers at their defaults, and report its size.
+
+    What is looked up per volatility is made of it here, once, under the catalogue's version.
+    """
+    version = tables.replace("products", with_defaults(products, product_defaults()))
+    build_cells(tables.read("products"), path=f"{tables.path('product_cells')}/v={version}")
     return tables.read("products").count()
 
 

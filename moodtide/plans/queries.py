@@ -340,8 +340,8 @@ def trend_summary(spark, sf_dir):
 
 
 def best_products(spark, sf_dir) -> DataFrame:
-    candidates = recommend.build_candidates(views.catalog(spark, sf_dir))
-    return recommend.best_products(_profiles(spark, sf_dir), candidates)
+    cells = recommend.build_cells(views.catalog(spark, sf_dir))
+    return recommend.best_products(_profiles(spark, sf_dir), cells)
 
 
 @query

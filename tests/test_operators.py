@@ -162,28 +162,52 @@ def test_best_products_against_all_pairs(spark, seed, n, grid):
     rng = random.Random(seed)
     users = [(rng.choice([LOW, MID, HIGH]), rng.choice([0.0, rng.random() * 0.7, 5 * rng.random()])) for _ in range(150)]
     products, profiles = products_of(spark, numbers), profiles_of(spark, users)
-    candidates = recommend.build_candidates(products, first_buckets=8, per_bucket=5)
     want = best_by_hand(numbers, users)
     columns = ("user_id", "rank", "product_id")
-    for limits in ({}, {"broadcast_bytes": -1}, {"broadcast_bytes": -1, "pack_limit": 0}):
-        got = recommend.best_products(profiles, candidates, **limits)
-        assert rows(got.select(*columns), "user_id", "rank") == want
-    naive = recommend.best_products_by_join(profiles, products)
-    assert rows(naive.select(*columns), "user_id", "rank") == want
+    for limits in ({}, {"first_buckets": 8, "lines_at_once": 20}):
+        cells = recommend.build_cells(products, **limits)
+        for hint in ("broadcast", "merge"):
+            got = recommend.best_products(profiles, cells.hint(hint))
+            assert rows(got.select(*columns), "user_id", "rank") == want
+
+
+def test_divided_lines_hold_the_best_everywhere():
+    rng = np.random.default_rng(5)
+    t = np.linspace(0.01, 0.99, 300)
+    sets = [
+        (rng.uniform(0, 40, 500), rng.uniform(-5, 60, 500)),
+        (rng.integers(0, 5, 300) * 1.0, rng.integers(0, 5, 300) * 1.0),
+        (1 + t * t, 2 * t - 1 - t * t),  # every line is the best somewhere
+        (np.full(200, 3.0) + np.arange(200) * 1e-13, np.full(200, 1.0)),  # nothing to tell apart
+    ]
+    for a, b in sets:
+        parts = sorted(recommend.divided(a, b, 0.0, 1.0, 3), key=lambda part: part[0])
+        assert parts[0][0] == 0.0 and parts[-1][1] == 1.0
+        assert all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+        assert len(parts) <= 4 * len(a)
+        for low, high, lines in parts:
+            for w in (low, (low + high) / 2, high):
+                best = np.argsort(-(a - (a + b) * w), kind="stable")[:3]
+                worst = (a - (a + b) * w)[best[-1]]
+                sure = [i for i in best if (a - (a + b) * w)[i] >= worst]
+                assert set(sure) <= set(lines.tolist()) or len(lines) >= 3 and np.isclose(
+                    sorted((a - (a + b) * w)[lines])[-3:], sorted((a - (a + b) * w))[-3:], rtol=0, atol=1e-12
+                ).all()
+    assert max(len(lines) for _, _, lines in recommend.divided(*sets[2], 0.0, 1.0, 3)) <= 16
 
 
 def test_copies_do_not_crowd_a_bucket(spark):
     numbers = [(LOW, 10.0, 1.0, 1.0)] * 500 + [(LOW, 9.0, 0.0, 1.0), (MID, 1.0, 1.0, 1.0)]
     users = [(LOW, 0.0), (LOW, 0.9), (MID, 0.1), (HIGH, 0.1)]
-    candidates = recommend.build_candidates(products_of(spark, numbers))
-    assert candidates.largest_bucket <= 4
-    got = recommend.best_products(profiles_of(spark, users), candidates)
+    cells = recommend.build_cells(products_of(spark, numbers))
+    assert cells.agg(F.max(F.size("_options"))).first()[0] <= 4
+    got = recommend.best_products(profiles_of(spark, users), cells)
     assert rows(got.select("user_id", "rank", "product_id"), "user_id", "rank") == best_by_hand(numbers, users)
 
 
 def test_recommendation_output(spark):
     numbers = [(HIGH, 20.0, 1.0, 1.0), (HIGH, 10.0, 30.0, 2.0)]
-    best = recommend.best_products(profiles_of(spark, [(HIGH, 0.1)]), recommend.build_candidates(products_of(spark, numbers)))
+    best = recommend.best_products(profiles_of(spark, [(HIGH, 0.1)]), recommend.build_cells(products_of(spark, numbers)))
     shown = recommend.recommendations(best).orderBy("rank").collect()
     assert [r["recommendation_score"] for r in shown] == [10.88, 6.4]
     assert shown[0]["tags"] == ["a"] and shown[0]["reason_code"] == "balanced"

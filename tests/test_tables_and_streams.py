@@ -344,3 +344,8 @@ def test_reloaded_catalogue_has_defaults(spark, tables):
     products = views.catalog(spark, EVENTS).withColumn("sharpe_ratio", F.lit(None).cast("double"))
     batch.reload_catalog(tables, products)
     assert tables.read("products").where("sharpe_ratio = 0.0").count() == products.count()
+    cells = tables.read("product_cells", schema="risk_level string")
+    assert tables.versions("product_cells") == tables.versions("products")
+    assert {r[0] for r in cells.select("risk_level").distinct().collect()} <= {
+        r[0] for r in products.select("risk_rating").distinct().collect()
+    } and cells.count() > 0
