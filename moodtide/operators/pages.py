@@ -28,6 +28,8 @@ from moodtide.functions.times import ntz, parse_post_time
 from moodtide.operators.constraints import post_defaults
 
 PAGES_AT_ONCE = 64
+#: Pages a task parses where they are dealt anew; a few seconds of Python.
+PAGES_PER_TASK = 250
 #: What holds no links though it may look so.
 NOT_SHOWN = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)"
 _VALUE = r"""(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))"""
@@ -98,6 +100,15 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(seen)).where(F.col("_n") == 1).drop("_n")
 
 
+def dealt(pages: DataFrame, count: int) -> DataFrame:
+    """``count`` pages over tasks of about PAGES_PER_TASK each, however few files they lie in.
+
+    Parsing costs far more than moving a page, and a file of pages is read by one task.
+    """
+    tasks = max(1, -(-count // PAGES_PER_TASK))
+    return pages.select("page_id", "html").repartition(tasks, "page_id", F.xxhash64("html"))
+
+
 def page_posts(pages: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Posts of each page, first mention of an id only.
 

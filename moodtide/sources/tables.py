@@ -206,8 +206,9 @@ class Tables:
         self._delete(f"{aside}/new")
 
     def _write_partitions(self, path: str, df: DataFrame, column: str) -> None:
+        """Each partition in few files; a large one, such as the day a backfill lands, in several tasks."""
         (
-            df.repartition(column)
+            df.hint("rebalance", column)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(column)

@@ -108,15 +108,18 @@ def ingest_stream(pages: DataFrame, tables: Tables, as_of: dt.datetime, checkpoi
 
     The counters of a micro-batch are written after its parsed rows; a replay that finds them merges
     those rows and counts nothing again. Pages are counted by themselves, without a column read: a
-    plan in which no page can hold a post is emptied by Spark, and so is what it would observe.
+    plan in which no page can hold a post is emptied by Spark, and so is what it would observe. They are
+    dealt anew before they are parsed, since a micro-batch may be one large file.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
         if not tables.has_batch("ingest_counters", batch_id):
-            posts = page_ops.landed_rows(page_ops.page_posts(batch, as_of), as_of)
+            pages_read = batch.count()
+            dealt = page_ops.dealt(batch, pages_read)
+            posts = page_ops.landed_rows(page_ops.page_posts(dealt, as_of), as_of)
             tables.append("raw_data-landed", posts, batch_id)
             counted = landed(batch_id).agg(
-                F.lit(batch.count()).cast("long").alias("pages"),
+                F.lit(pages_read).cast("long").alias("pages"),
                 F.count_distinct("seq.page_id").alias("pages_with_posts"),
                 F.count(F.lit(1)).alias("upsert_rows"),
             )
