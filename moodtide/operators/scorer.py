@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ from moodtide.operators.labels import Classes
 Model = Callable[[list[str]], list[list[float]]]
 
 MODEL_BATCH = 16
+#: Model batches whose texts are Python strings at one time, whatever an Arrow batch holds.
+BATCHES_AT_ONCE = 8
 
 
 def with_sentiment(
@@ -65,6 +68,8 @@ def score_with_model(
 
     The model gets whole texts; if it reads only so many tokens of each, that is its own contract.
     ``classes`` is a number of outputs or, with their meaning, the ``Classes`` of its labels. Every other column of a row travels with it, so results need no join back.
+    Rows stay in Arrow and go back a few model batches at a time, so a worker holds one Arrow batch and
+    few texts as strings, however many rows come.
     """
     if isinstance(classes, Classes):
         positive, negative, labels = classes.positive, classes.negative, classes.labels
@@ -74,18 +79,24 @@ def score_with_model(
         [*posts.schema.fields, *[T.StructField(name, T.DoubleType()) for name in names]]
     )
 
-    def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for rows in batches:
-            texts = rows[text].tolist()
-            logits = [
-                row
-                for start in range(0, len(texts), batch_size)
-                for row in model(texts[start : start + batch_size])
-            ]
-            yield rows.join(pd.DataFrame(logits, columns=names, index=rows.index, dtype=float))
-
-    inferred = posts.mapInPandas(infer, schema)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, batch_size * BATCHES_AT_ONCE):
+                rows = batch.slice(begin, batch_size * BATCHES_AT_ONCE)
+                texts = rows.column(text).to_pylist()
+                logits = [
+                    row
+                    for start in range(0, len(texts), batch_size)
+                    for row in model(texts[start : start + batch_size])
+                ]
+                outputs = np.array(logits, dtype=float)
+                if outputs.shape != (len(texts), classes):
+                    raise ValueError(f"logits of shape {outputs.shape} for {len(texts)} texts and {classes} classes")
+                columns = [pa.array(z, pa.float64(), from_pandas=True) for z in outputs.T]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *columns], [*rows.schema.names, *names])
+
+    inferred = posts.mapInArrow(infer, schema)
     return with_sentiment(inferred, [F.col(n) for n in names], positive, negative, labels).drop(
         *names
     )
