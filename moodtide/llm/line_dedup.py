@@ -37,7 +37,9 @@ def dedup_lines(
 
     Only hashes of lines move. They are dealt by document and key first, so a line that all documents
     share is spread, and counts combine before they are dealt by key. The join that finds the
-    places of shared lines is a plain sort-merge join, whose large partitions Spark splits.
+    places of shared lines is a plain sort-merge join, whose large partitions Spark splits. Texts meet
+    the places of their lines in a hash join: only the places, numbers of lines, are held, and texts
+    pass by without being sorted.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     keyed = rows.select(
@@ -69,7 +71,7 @@ def dedup_lines(
     once = F.array(F.struct(lines.alias("lines"), kept.alias("kept")))
     joined = F.transform(once, lambda t: F.array_join(F.transform(t["kept"], lambda i: F.get(t["lines"], i)), "\n"))
     return (
-        rows.join(places, same, "left")
+        rows.join(places.hint("shuffle_hash"), same, "left")
         .select(
             "doc_id",
             F.size(lines).cast("long").alias("n_lines"),
