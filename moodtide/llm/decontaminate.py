@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodtide.llm.words import BASE, INVERSE, U, powers, slices, windows, within, words_of
+from moodtide.session import bounded_batches
 
 SEED_WORDS = 5
 COVERAGE = 0.6
@@ -233,7 +234,7 @@ def leaks(
     The benchmark is a test set: it goes to the tasks in blocks of ``block_words`` words, each a
     broadcast of some 40 bytes a word, and every text meets every block. Nothing is shuffled.
     """
-    context = benchmark.sparkSession.sparkContext
+    context = bounded_batches(benchmark.sparkSession).sparkContext
     found = []
     for ids, texts in blocks(benchmark, block_words, item_id, item_text):
         found.append(searcher(context.broadcast((ids, texts)), coverage, size)(text))

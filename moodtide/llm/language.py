@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from moodtide.llm.frames import text_of
 from moodtide.llm.words import FACTORS, U, flat_bytes, slices
+from moodtide.session import bounded_batches
 
 UNKNOWN = "und"
 DIMS = 1 << 16
@@ -22,6 +23,8 @@ SCALE = 100.0
 MAX_LANGUAGES = 500
 PER_LANGUAGE = 1500
 CALIBRATION_SHARE = 0.2
+#: Bytes of text whose n-grams are held at once: each takes some 60 bytes for every byte of text.
+GRAM_BYTES = 1 << 18
 #: Of ASCII only letters count; all other signs are one blank.
 FOLD = np.array([i if chr(i).isalpha() else 32 for i in range(128)], np.uint64)
 
@@ -53,7 +56,7 @@ def grams_of(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], int]:
 
 def counts_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Features and their counts, text by text."""
-    for begin, end in slices(texts):
+    for begin, end in slices(texts, GRAM_BYTES):
         features, owners, n = grams_of(texts.slice(begin, end - begin))
         bounds = [np.searchsorted(o, np.arange(n + 1)) for o in owners]
         for i in range(n):
@@ -152,7 +155,7 @@ class Model:
 
     def predict(self, texts: pa.Array) -> pa.Array:
         labels, scores = [], []
-        for begin, end in slices(texts):
+        for begin, end in slices(texts, GRAM_BYTES):
             p = softmax(self.logits(texts.slice(begin, end - begin)))
             best = p.argmax(axis=1)
             labels += [self.labels[i] for i in best]
@@ -172,7 +175,7 @@ def fit(
     text, of whose copies one is taken; the share CALIBRATION_SHARE of them sets the temperature
     instead. The sample is all that reaches the driver: at most 6 bytes for each different feature of a text.
     """
-    spark = labelled.sparkSession
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select("text", "lang", F.xxhash64(F.lit(seed), "text").alias("draw"))
     per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("draw").alias("texts"))
     totals = {r["lang"]: r for r in per_lang.limit(MAX_LANGUAGES + 1).collect()}
@@ -230,7 +233,7 @@ def language(text: Column, model: Model | None, spark) -> Column:
     none = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
     if model is None:
         return none
-    shared = spark.sparkContext.broadcast((model.labels, model.weights, model.bias))
+    shared = bounded_batches(spark).sparkContext.broadcast((model.labels, model.weights, model.bias))
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predicted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

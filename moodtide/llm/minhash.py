@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from moodtide.llm.components import components
 from moodtide.llm.frames import marked, stored
 from moodtide.llm.words import FACTORS, MULTIPLIER, U, mix, sequence_keys, shingles_of, slices, words_of
+from moodtide.session import bounded_batches
 
 WORDS = 5
 BANDS = 32
@@ -315,6 +316,7 @@ def near_duplicates(
     still of different classes are compared in blocks, exactly and all with all, so what has the same key is never
     passed over; a large class has few of them, as most of it comes together in the first round.
     """
+    bounded_batches(docs.sparkSession)
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = stored(
         rows_in.select("doc_id", sketch(F.col("text"), size, bands, rows).alias("s")).select("doc_id", "s.*"), "sketches"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodtide.llm.frames import text_of
+from moodtide.session import bounded_batches
 
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut before merging. Fixed value of the public tokenizer.
@@ -31,7 +32,7 @@ class Tokenizer:
             data = file.read(MAX_RANKS_BYTES + 1)
         if len(data) > MAX_RANKS_BYTES:
             raise ValueError(f"{path} has more than {MAX_RANKS_BYTES} bytes")
-        self.data = spark.sparkContext.broadcast(data)
+        self.data = bounded_batches(spark).sparkContext.broadcast(data)
         self.pattern = pattern
 
     def load(self) -> tuple[tiktoken.Encoding, np.ndarray]:

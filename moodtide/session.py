@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch after which the next one begins, where the session names no limit.
+BATCH_BYTES = 4 << 20
 
 
 def local_session(cores: int | str = "*", app_name: str = "moodtide") -> SparkSession:
@@ -35,6 +38,17 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Rows go to Python in batches bounded by bytes, not by their number alone.
+
+    Executors build a batch outside of their heap, in buffers that double as they grow, and a worker
+    holds it whole; 10,000 whole texts, or pairs of texts' cells, take tens of megabytes for every task.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. In local mode without one, a temporary folder."""
     named = spark.conf.get(CHECKPOINT_DIR, None)
