@@ -197,6 +197,7 @@ def similarities(cells: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
         holds = np.zeros((len(cells), TILE_CELLS), np.float32)
         holds[owner[here], number[here] - tile] = 1
         common += holds[left] @ holds[right].T
+    common = np.where(left[:, None] == right[None, :], sizes[left][:, None], common)
     return common / (sizes[left][:, None] + sizes[right][None, :] - common)
 
 

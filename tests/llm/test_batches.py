@@ -62,3 +62,9 @@ def test_grams_of_a_large_batch_are_held_in_parts(monkeypatch):
     monkeypatch.setattr(language, "GRAM_BYTES", 1 << 30)
     assert got.equals(model.predict(texts))
     assert grams == sum(len(at) for at, _ in language.counts_of(texts))
+
+
+def test_a_text_is_wholly_like_itself_in_a_block():
+    cells = [np.arange(a, b, dtype=np.uint64) for a, b in ((0, 30), (10, 40), (90, 95))]
+    got = minhash.similarities(cells, np.array([0, 2]), np.array([0, 1, 2]))
+    assert got.tolist() == [[1.0, 0.5, 0.0], [0.0, 0.0, 1.0]]
